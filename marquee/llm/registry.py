@@ -12,6 +12,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.media import describe_texts
+
+    return describe_texts(_table(spark, sf_dir, "documents"))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from marquee.llm.bpe import encode_digests
+
+    return encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.llm.lines import dedup_lines
 
@@ -19,15 +39,53 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.iblt import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.secret_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.llm.simhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.toxicity import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
+    "op2_bpe": op2_bpe,
+    "op3_licenses": op3_licenses,
     "op4_line_dedup": op4_line_dedup,
+    "op5_fingerprints": op5_fingerprints,
+    "op7_secrets": op7_secrets,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
+    "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {}
+
+def _sql() -> dict[str, str]:
+    from marquee.llm.licenses import scan_sql
+
+    return {"op3_licenses": scan_sql()}
+
+
+SQL: dict[str, str] = _sql()
