@@ -45,6 +45,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.substrings import dedup_substrings
+
+    return dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.llm.secret_scan import scan
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op4_line_dedup": op4_line_dedup,
     "op5_fingerprints": op5_fingerprints,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_secrets": op7_secrets,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
