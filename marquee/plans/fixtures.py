@@ -109,6 +109,35 @@ FROM events GROUP BY date_trunc('hour', ts)
 """,
     "ab_observations": """
 SELECT event_type AS experiment, CASE WHEN user_id % 2 = 0 THEN 'control' ELSE 'treatment' END AS arm, value AS reward FROM events
+""",
+    # two rankings of all vectors for the stated queries, and graded judgements
+    "ranked_a": """
+SELECT query_id, doc_id, score, rank FROM (
+  SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM (
+    SELECT q.vec_id AS query_id, d.vec_id AS doc_id,
+           CAST((d.vec_id * 7919 + q.vec_id * 104729) % 1009 AS DOUBLE) / 1009 + CASE WHEN q.label = d.label THEN 0.1 ELSE 0 END AS score
+    FROM embeddings q JOIN embeddings d ON q.vec_id < 20 AND q.vec_id <> d.vec_id) x) y
+WHERE rank <= 50
+""",
+    "ranked_b": """
+SELECT query_id, doc_id, score, rank FROM (
+  SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM (
+    SELECT q.vec_id AS query_id, d.vec_id AS doc_id,
+           CAST((d.vec_id * 6367 + q.vec_id * 104729) % 1009 AS DOUBLE) / 1009 + CASE WHEN q.label = d.label THEN 0.3 ELSE 0 END AS score
+    FROM embeddings q JOIN embeddings d ON q.vec_id < 20 AND q.vec_id <> d.vec_id) x) y
+WHERE rank <= 50
+""",
+    "graded_qrels": """
+SELECT q.vec_id AS query_id, d.vec_id AS doc_id, CAST(1 + d.vec_id % 2 AS INT) AS relevance
+FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id < 20
+""",
+    # every event as an impression of an item, with what came of it
+    "impression_log": """
+SELECT event_id, user_id, doc_id, position, ltr_score AS score, propensity, shown, coalesce(watch_pct, 0) >= 0.25 AS watched, occurred_at FROM watch_events
+""",
+    # interactions of a user with a vector's item
+    "interactions": """
+SELECT user_id, doc_id, coalesce(watch_pct, 0.05) AS watch_pct, event_type = 'skip' AS skipped, CAST(NULL AS DOUBLE) AS explicit_rating, occurred_at AS ts, event_id FROM watch_events
 """,
 }
 
