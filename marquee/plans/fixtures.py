@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -150,9 +152,9 @@ class Data:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            for table in TABLES:
-                if table in VIEWS[name]:
-                    self.spark.read.parquet(f"{self.folder}/{table}.parquet").createOrReplaceTempView(table)
+            for other in (*TABLES, *VIEWS):
+                if other != name and re.search(rf"\b{other}\b", VIEWS[name]):
+                    getattr(self, other).createOrReplaceTempView(other)
             return self.spark.sql(VIEWS[name])
         if name in TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -165,7 +167,7 @@ def with_views(sql: str) -> str:
 
     def need(text: str) -> None:
         for name, body in VIEWS.items():
-            if name in text and name not in needed:
+            if re.search(rf"\b{name}\b", text) and name not in needed:
                 need(body)
                 needed.append(name)
 
