@@ -86,16 +86,16 @@ QUERIES = {
         f"SELECT 'a' AS method, 'ndcg@10' AS metric, round(avg(ndcg), 6) AS value FROM ({ndcg('ranked_a')}) UNION ALL SELECT 'b', 'ndcg@10', round(avg(ndcg), 6) FROM ({ndcg('ranked_b')})",
     ),
     "m17_failure_analysis": (
-        lambda d: rounded(M.failure_analysis(d.ranked_a, d.ranked_b, d.graded_qrels), "ndcg_base", "ndcg_cand", "delta"),
+        lambda d: rounded(M.failure_analysis(d.ranked_a, d.ranked_b, d.graded_qrels), "ndcg_base", "ndcg_cand", "delta").withColumns({c: F.col(c).cast("double") for c in ("first_base", "first_cand")}),
         f"""WITH a AS ({ndcg('ranked_a')}), b AS ({ndcg('ranked_b')}), ra AS (SELECT query_id, count(*) FILTER (rank <= 10 AND relevance > 0) AS relevant_base, min(rank) FILTER (relevance > 0) AS first_base FROM {rated('ranked_a')} GROUP BY 1),
         rb AS (SELECT query_id, count(*) FILTER (rank <= 10 AND relevance > 0) AS relevant_cand, min(rank) FILTER (relevance > 0) AS first_cand FROM {rated('ranked_b')} GROUP BY 1),
         o AS (SELECT query_id, count(*) AS overlap FROM ranked_a x JOIN ranked_b y USING (query_id, doc_id) WHERE x.rank <= 10 AND y.rank <= 10 GROUP BY 1)
-        SELECT query_id, round(a.ndcg, 6) AS ndcg_base, round(b.ndcg, 6) AS ndcg_cand, relevant_base, first_base, relevant_cand, first_cand, coalesce(overlap, 0) AS overlap, round(b.ndcg - a.ndcg, 6) AS delta
+        SELECT query_id, round(a.ndcg, 6) AS ndcg_base, round(b.ndcg, 6) AS ndcg_cand, relevant_base, first_base::DOUBLE AS first_base, relevant_cand, first_cand::DOUBLE AS first_cand, coalesce(overlap, 0) AS overlap, round(b.ndcg - a.ndcg, 6) AS delta
         FROM a JOIN b USING (query_id) JOIN ra USING (query_id) JOIN rb USING (query_id) LEFT JOIN o USING (query_id)""",
     ),
     "m18_top_misses": (
-        lambda d: M.top_misses(d.ranked_a, d.graded_qrels, 1),
-        f"SELECT query_id, CAST(b AS INT) AS best_rank FROM (SELECT DISTINCT query_id FROM graded_qrels) LEFT JOIN (SELECT query_id, min(rank) AS b FROM {rated('ranked_a')} WHERE relevance > 0 GROUP BY 1) USING (query_id) WHERE b IS NULL OR b > 1",
+        lambda d: M.top_misses(d.ranked_a, d.graded_qrels, 1).withColumn("best_rank", F.col("best_rank").cast("double")),
+        f"SELECT query_id, CAST(b AS DOUBLE) AS best_rank FROM (SELECT DISTINCT query_id FROM graded_qrels) LEFT JOIN (SELECT query_id, min(rank) AS b FROM {rated('ranked_a')} WHERE relevance > 0 GROUP BY 1) USING (query_id) WHERE b IS NULL OR b > 1",
     ),
     "m19_rank_agreement": (lambda d: rounded(M.rank_agreement(d.ranked_a, d.ranked_b), "tau", "avg_position_diff"), f"WITH {AGREE} SELECT query_id, overlap, round(tau, 6) AS tau, round(avg_position_diff, 6) AS avg_position_diff, top1_agreement FROM g"),
     "m20_agreement_report": (

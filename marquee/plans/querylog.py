@@ -44,8 +44,8 @@ QUERIES = {
     ),
     "n04_rewrite_queries": (lambda d: N.rewrite_queries(N.classify_intent(log(d))), None),
     "n05_query_filters": (
-        lambda d: N.query_filters(N.recognise_entities(log(d)), N.correct_spelling(log(d))),
-        f"""WITH {CORRECT}, {ENTITIES} SELECT query_id, CAST(nullif(split_part(years, ',', 1), '') AS INT) - 1 AS year_min, CAST(nullif(split_part(years, ',', 1), '') AS INT) + 1 AS year_max, nullif(split_part(genres, ',', 1), '') AS genre,
+        lambda d: N.query_filters(N.recognise_entities(log(d)), N.correct_spelling(log(d))).withColumns({c: F.col(c).cast("double") for c in ("year_min", "year_max")}),
+        f"""WITH {CORRECT}, {ENTITIES} SELECT query_id, CAST(nullif(split_part(years, ',', 1), '') AS DOUBLE) - 1 AS year_min, CAST(nullif(split_part(years, ',', 1), '') AS DOUBLE) + 1 AS year_max, nullif(split_part(genres, ',', 1), '') AS genre,
         CASE WHEN corrected = {NORM} THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM en JOIN co USING (query_id)""",
     ),
     "n07_expand_queries": (

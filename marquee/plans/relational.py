@@ -22,8 +22,8 @@ CATALOG = "cat AS (SELECT doc_id, 'Title: ' || title || ' | Genres: ' || replace
 
 QUERIES = {
     "j07_left_agg": (
-        lambda d: J.left_agg(d.users.select("user_id"), d.watch_events, "user_id", F.count("*").alias("n"), F.max("watch_pct").alias("most")),
-        "SELECT user_id, n, most FROM users LEFT JOIN (SELECT user_id, count(*) AS n, max(watch_pct) AS most FROM watch_events GROUP BY 1) USING (user_id)",
+        lambda d: J.left_agg(d.users.select("user_id"), d.watch_events, "user_id", F.count("*").alias("n"), F.max("watch_pct").alias("most")).fillna(0, ["n"]),
+        "SELECT user_id, coalesce(n, 0) AS n, most FROM users LEFT JOIN (SELECT user_id, count(*) AS n, max(watch_pct) AS most FROM watch_events GROUP BY 1) USING (user_id)",
     ),
     "j10_outer_scores": (lambda d: rounded(J.outer_scores(d.ranked_a, d.ranked_b), "a", "b"), "SELECT query_id, doc_id, round(coalesce(a.score, 0), 6) AS a, round(coalesce(b.score, 0), 6) AS b FROM ranked_a a FULL JOIN ranked_b b USING (query_id, doc_id)"),
     "j12_member_of": (lambda d: J.member_of(d.ranked_a.select("query_id", "doc_id"), d.graded_qrels, ["query_id", "doc_id"], "relevant"), "SELECT query_id, doc_id, (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM graded_qrels) AS relevant FROM ranked_a"),
@@ -44,8 +44,8 @@ QUERIES = {
         "SELECT user_id, event_type, count(*) AS n, CAST(row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS INT) AS rank FROM watch_events GROUP BY 1, 2 QUALIFY rank <= 2",
     ),
     "a15_by_slices": (
-        lambda d: rounded(J.by_slices(d.events.select("event_type", (F.col("user_id") % 3).alias("third"), "value"), ["event_type", "third"], "value"), "mean"),
-        "SELECT event_type, third, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT event_type, user_id % 3 AS third, value FROM events) GROUP BY GROUPING SETS ((event_type), (third), ())",
+        lambda d: rounded(J.by_slices(d.events.select("event_type", (F.col("user_id") % 3).cast("string").alias("third"), "value"), ["event_type", "third"], "value"), "mean"),
+        "SELECT event_type, third, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT event_type, CAST(user_id % 3 AS STRING) AS third, value FROM events) GROUP BY GROUPING SETS ((event_type), (third), ())",
     ),
     "w02_running_total": (
         lambda d: rounded(J.running_total(d.events.select("user_id", F.to_date("ts").alias("day"), "event_id", "value"), "user_id", "day", "value").select("event_id", "running"), "running"),
