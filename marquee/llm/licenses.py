@@ -138,7 +138,8 @@ def scan_sql(templates: tuple[Template, ...] = TEMPLATES) -> str:
 
     def starts(t: Template) -> str:
         n = len(t.key)
-        return f"list_filter(range(0, greatest(len(w) - {n} + 1, 0)), lambda i: w[i+1:i+{n}] = [{', '.join(repr(x) for x in t.key)}])"
+        key = f"[{', '.join(repr(x) for x in t.key)}]"
+        return f"CASE WHEN list_has_all(w, {key}) THEN list_filter(range(0, greatest(len(w) - {n} + 1, 0)), lambda i: w[i+1:i+{n}] = {key}) ELSE []::BIGINT[] END"
 
     def share(t: Template, n: int) -> str:
         there = " + ".join([str(len(t.key)), *(f"CASE WHEN i + {at} >= 0 AND w[i + {at} + 1] = {word!r} THEN 1 ELSE 0 END" for at, word in t.around)])
