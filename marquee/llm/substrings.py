@@ -24,9 +24,9 @@ from marquee.llm.common import map_arrow, materialise
 LENGTH = 100
 GRAM = 24
 #: Bytes of blocks that one suffix array takes, and blocks under one hash beyond which they are filed anew.
-SHARD, MANY = 1 << 20, 20_000
+SHARD, MANY = 1 << 19, 5_000
 #: Bytes of a text that are worked on at a time.
-PART = 1 << 23
+PART = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 NO_ID = (1 << 63) - 1
@@ -35,19 +35,23 @@ NO_ID = (1 << 63) - 1
 # -- where strings are filed -------------------------------------------------------------------------------------------------
 
 
-@lru_cache(1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for every place of a part."""
-    inverse = pow(_BASE, -1, 1 << 64)
+@lru_cache(4)
+def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, `size` of each."""
     out = []
-    for base in (_BASE, inverse):
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
         p = np.ones(1, np.uint64)
-        while len(p) <= PART:
+        while len(p) < size:
             p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
-        out.append(p[: PART + 1])
+        out.append(p)
     return tuple(out)
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tables that reach exponent n at least."""
+    return _power_table(1 << max(16, n.bit_length()))
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
@@ -63,7 +67,7 @@ def blocks(raw: bytes, seed: int = 0, gram: int = GRAM) -> tuple[np.ndarray, ...
     if n < LENGTH:
         empty = np.zeros(0, np.int64)
         return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
-    powers, inverses = _powers()
+    powers, inverses = _powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1 + 2 * seed)) * powers[:n], out=total[1:])
     h = _mix((total[gram:] - total[:-gram]) * inverses[: n - gram + 1])
@@ -200,7 +204,7 @@ def suffix_array(t: np.ndarray, upto: int = LENGTH) -> np.ndarray:
     # name leftmost-smaller substrings: alike if as long and of the same hash
     stop = np.full(n, n, np.int64)
     stop[least[:-1]] = least[1:] + 1
-    powers, inverses = _powers()
+    powers, inverses = _powers(n)
     total = np.concatenate([[np.uint64(0)], np.cumsum((t.astype(np.uint64) + np.uint64(1)) * powers[:n])])
     digest = (total[stop[by_substring]] - total[by_substring]) * inverses[by_substring]
     size = stop[by_substring] - by_substring
