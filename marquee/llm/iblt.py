@@ -4,7 +4,7 @@ A paragraph is what stands between line breaks or after the end of a sentence. E
 (of the paragraph and of how many equal ones stand before it) that is added to one cell in each of three rows: a
 count, the XOR of digests and the XOR of their checks. Sketches of two versions subtract cell by cell; what is left
 are the paragraphs in only one of them, and peeling cells that hold a single one recovers their digests. Where
-peeling stalls the sketches are built again with twice the cells.
+peeling stalls the sketches are built again, larger.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ ROWS = 3
 RANGES = 256
 BOUNDARY = re.compile(r"\n+|(?<=[.!?])\s+")
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_ROW = np.arange(ROWS, dtype=np.uint64)[:, None]
 
 
 def paragraphs(text: str) -> list[str]:
@@ -50,22 +51,24 @@ def _mixed(keys: np.ndarray, salt: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _places(keys: np.ndarray, cells: int) -> np.ndarray:
+    """The cell of each key in each row, rows one after another."""
+    x = (keys ^ (keys >> np.uint64(31)))[None, :] * _SALTS[:, None]
+    x = ((x ^ (x >> np.uint64(29))) >> np.uint64(20)) % np.uint64(cells) + _ROW * np.uint64(cells)
+    return x.astype(np.int64).reshape(-1)
+
+
 class Sketch:
     """count, key and check of ROWS rows of `cells` cells."""
 
     def __init__(self, keys: np.ndarray, cells: int) -> None:
         self.cells = cells
-        self.count = np.zeros(ROWS * cells, np.int64)
         self.key = np.zeros(ROWS * cells, np.uint64)
         self.check = np.zeros(ROWS * cells, np.uint64)
-        if len(keys):
-            checks = _mixed(keys, np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
-            for r in range(ROWS):
-                at = (_mixed(keys, _SALTS[r]) >> np.uint64(20)) % np.uint64(cells) + np.uint64(r * cells)
-                at = at.astype(np.int64)
-                self.count += np.bincount(at, minlength=ROWS * cells)
-                np.bitwise_xor.at(self.key, at, keys)
-                np.bitwise_xor.at(self.check, at, checks)
+        at = _places(keys, cells)
+        self.count = np.bincount(at, minlength=ROWS * cells)
+        np.bitwise_xor.at(self.key, at, np.tile(keys, ROWS))
+        np.bitwise_xor.at(self.check, at, np.tile(_mixed(keys, np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40), ROWS))
 
     def text(self) -> str:
         """The cells, 13 bytes each, in base 64."""
@@ -88,15 +91,18 @@ def peel(a: Sketch, b: Sketch) -> tuple[list[int], list[int]] | None:
 
     salts = [int(s) for s in _SALTS]
     queue = [i for i, n in enumerate(count) if n in (1, -1)]
-    while queue:
-        i = queue.pop()
+    steps = 20 * len(count)  # cells that only look pure could otherwise be undone and redone
+    while queue and steps:
+        i, steps = queue.pop(), steps - 1
         n, k = count[i], key[i]
         if n not in (1, -1) or mixed(k, 0xD6E8FEB86659FD93) >> 40 != check[i]:
             continue
         (only_a if n == 1 else only_b).append(k)
         c = check[i]
-        for r in range(ROWS):
-            at = (mixed(k, salts[r]) >> 20) % cells + r * cells
+        x = k ^ (k >> 31)
+        for r, salt in enumerate(salts):
+            y = (x * salt) & mask
+            at = ((y ^ (y >> 29)) >> 20) % cells + r * cells
             count[at] -= n
             key[at] ^= k
             check[at] ^= c
@@ -105,21 +111,24 @@ def peel(a: Sketch, b: Sketch) -> tuple[list[int], list[int]] | None:
     return None if any(count) or any(key) or any(check) else (only_a, only_b)
 
 
-def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[list[int], list[int]]:
-    """Digests in only one of two texts, from sketches as large as it takes to peel their difference."""
-    while True:
+def difference(a: np.ndarray, b: np.ndarray, small: tuple[Sketch, Sketch] | None = None) -> tuple[list[int], list[int]]:
+    """Digests in only one of two texts: from the small sketches if their difference comes apart, else from ones with
+    room for all digests of both, else from twice as large ones until it does."""
+    one, two = small or (Sketch(a, CELLS), Sketch(b, CELLS))
+    found = peel(one, two) if np.count_nonzero(one.count - two.count) < len(one.count) else None
+    cells = max(2 * one.cells, (len(a) + len(b)) // 2 + 3)
+    while found is None:
         found = peel(Sketch(a, cells), Sketch(b, cells))
-        if found is not None:
-            return found
         cells *= 2
+    return found
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: np.ndarray, b: np.ndarray, small: tuple[Sketch, Sketch] | None = None) -> float:
     """Share of paragraphs in both texts among those in either; 1 for two texts without any."""
     total = len(a) + len(b)
     if not total:
         return 1.0
-    differing = sum(map(len, difference(a, b)))
+    differing = sum(map(len, difference(a, b, small)))
     return (total - differing) / (total + differing)
 
 
@@ -157,15 +166,17 @@ def fingerprints(docs: DataFrame, cells: int = CELLS, ranges: int = RANGES) -> D
     ordered = _in_ranges(docs, ranges).repartition(ranges, "range").sortWithinPartitions("range", "last", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # (range, doc_id, text, digests) that waits for its successor
+        held: tuple | None = None  # (range, doc_id, text, digests, sketch) that waits for its successor
         first: tuple | None = None
         rows: list[tuple] = []
 
         def done(one: tuple, after: tuple) -> None:
-            _, doc, text, own = one
+            _, doc, text, own, sketch = one
             new = edited(text, after[2])
             changed = digests(new)
-            rows.append((doc, len(text), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), Sketch(own, cells).text(), Sketch(changed, cells).text(), likeness(own, changed), likeness(own, after[3])))
+            other = Sketch(changed, cells)
+            near = likeness(own, changed, (sketch, other)), likeness(own, after[3], (sketch, after[4]))
+            rows.append((doc, len(text), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), sketch.text(), other.text(), *near))
 
         def drain() -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
@@ -176,7 +187,8 @@ def fingerprints(docs: DataFrame, cells: int = CELLS, ranges: int = RANGES) -> D
 
         for batch in batches:
             for place, last, doc, text in zip(*(batch.column(c).to_pylist() for c in ("range", "last", "doc_id", "text"))):
-                now = (place, doc, text, digests(text))
+                own = digests(text)
+                now = (place, doc, text, own, Sketch(own, cells))
                 if held and held[0] == place:
                     done(held, now)
                 elif held:  # a range without a last row: there is no doc_id at all
