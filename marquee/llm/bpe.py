@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from marquee.llm.common import map_texts, text_rows
 
 #: Words whose encodings a task keeps at a time.
-TABLE = 300_000
+TABLE = 800_000
 #: Pairs of tokens whose compatibility a task keeps at a time.
 PAIRS = 1_000_000
 #: The space-like characters, as the tokenizer's expressions know them.
@@ -98,17 +98,6 @@ class SuffixAutomaton:
         del self.out
         self.listed: list[list[tuple[int, int]] | None] = [None] * len(self.link)
 
-    def step(self, at: int, matched: int, symbol: int) -> tuple[int, int]:
-        """State and length of the longest suffix after one more symbol."""
-        there = self.next.get(at * self.symbols + symbol)
-        while there is None:
-            at = self.link[at]
-            if at < 0:
-                return 0, 0
-            matched = self.length[at]
-            there = self.next.get(at * self.symbols + symbol)
-        return there, matched + 1
-
     def tokens(self, at: int) -> list[tuple[int, int]]:
         """(number, length) of the tokens that are suffixes of the state's longest string, longest first."""
         found = self.listed[at]
@@ -183,18 +172,31 @@ class Vocabulary:
         """Ids of one word of the splitting expression."""
         raw = word.encode("utf-8", "replace")
         symbols = [*raw[:-1], raw[-1] + END] if self.suffix else list(raw)
-        step, ends, ids_of, fits = self.automaton.step, self.automaton.tokens, self.ids, self.fits
+        automaton, ids_of, known, fits = self.automaton, self.ids, self.known, self.fits
+        following, link, longest, listed, width = automaton.next, automaton.link, automaton.length, automaton.listed, automaton.symbols
         state = matched = 0
         last, begin = [-1], [0]  # of each prefix: its only last token, and where that token begins
         for end, symbol in enumerate(symbols, 1):
-            state, matched = step(state, matched, symbol)
+            there = following.get(state * width + symbol)
+            while there is None and state:
+                state = link[state]
+                matched = longest[state]
+                there = following.get(state * width + symbol)
+            state, matched = (0, 0) if there is None else (there, matched + 1)
             found, start = -1, 0
-            for n, length in ends(state):
+            for n, length in listed[state] or automaton.tokens(state):
                 if length <= matched:
                     start = end - length
-                    if start == 0 or last[start] >= 0 and fits(last[start], ids_of[n]):
-                        found = ids_of[n]
+                    token = ids_of[n]
+                    if start == 0:
+                        found = token
                         break
+                    before = last[start]
+                    if before >= 0:
+                        ok = known.get(before << 20 | token)
+                        if fits(before, token) if ok is None else ok:
+                            found = token
+                            break
             last.append(found)
             begin.append(start)
         at, ids = len(symbols), []
