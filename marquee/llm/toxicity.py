@@ -23,8 +23,8 @@ from marquee.llm.common import map_texts, text_rows
 
 #: Bytes of a window and from one window to the next.
 WINDOW, STEP = 48, 36
-#: Labelled documents of a class that the dictionaries and the curve are fitted on, at most about, and characters of each.
-SAMPLE, SAMPLE_CHARS = 2000, 20_000
+#: Labelled documents of a class that the dictionaries and the curve are fitted on, at most about.
+SAMPLE = 2000
 #: Bytes of the ordinary dictionary, and (bytes, segment) of the toxic parts that are tried.
 ORDINARY, TOXIC = 16_384, ((256, 32), (256, 64), (512, 48))
 #: Share of the commonest toxic word's documents that a word must have, and how much commoner than in ordinary ones it must be.
@@ -99,29 +99,30 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x @ np.array(self.weights) + self.bias, -30, 30))))
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of a logistic fit by Newton steps, and its loss."""
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of a logistic fit to weighted rows by Newton steps, and its loss."""
     w = np.zeros(x.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (p - y) + 1e-2 * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (weight * (p - y)) + 1e-2 * w)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
     p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
-    return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    return w, float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
 
 
-def train(texts: list[str], toxic: list[int]) -> Model:
-    """A model of labelled texts; of the toxic dictionaries tried, the one whose curve fits best. Without both classes, or
+def train(texts: list[str], toxic: list[int], weights: list[float] | None = None) -> Model:
+    """A model of labelled texts, each of which stands for as many as its weight says; of the toxic dictionaries tried, the one whose curve fits best. Without both classes, or
     without a word that recurs in toxic texts only, it gives every text the share of toxic labels, short of 0 and 1."""
     y = np.array(toxic, float)
+    weight = np.ones(len(y)) if weights is None else np.array(weights, float) * len(y) / sum(weights or [1.0])
     bad = [_plain(t) for t, b in zip(texts, toxic) if b]
     good = [_plain(t) for t, b in zip(texts, toxic) if not b]
     words = _recurring(bad, good)
     if not bad or not good or not words:
-        share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
+        share = ((weight * y).sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
         return Model(b" ", b" ", (0.0,) * 5, (1.0,) * 5, (0.0,) * 5, float(np.log(share / (1 - share))))
     ordinary = _dictionary([t[i : i + 256] for t in good for i in range(0, len(t), 256)], ORDINARY)
     residue = [r for r in (b" " + b" ".join(w for w in t.split() if w in words) + b" " for t in bad) if len(r) > 8]
@@ -130,8 +131,9 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     for size, segment in TOXIC:
         poison = ordinary + _dictionary(residue, size, segment)
         x = np.array([features(advantages(w, poison, ordinary)) for w in split])
-        center, scale = x.mean(0), x.std(0) + 1e-9
-        w, loss = _curve(np.hstack([(x - center) / scale, np.ones((len(x), 1))]), y)
+        center = np.average(x, axis=0, weights=weight)
+        scale = np.sqrt(np.average((x - center) ** 2, axis=0, weights=weight)) + 1e-9
+        w, loss = _curve(np.hstack([(x - center) / scale, np.ones((len(x), 1))]), y, weight)
         if best is None or loss < best[0]:
             best = loss, Model(poison, ordinary, tuple(map(float, center)), tuple(map(float, scale)), tuple(map(float, w[:-1])), float(w[-1]))
     return best[1]
@@ -145,16 +147,17 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of at most about `sample` labelled documents of each class, drawn by a hash of doc_id, none of them held out.
 
-    Only the first SAMPLE_CHARS characters of a drawn document are learned from; scoring reads whole texts. Rows
-    without a label, doc_id or text aren't learned from; a document labelled twice counts as toxic if one label says so.
+    Drawn rows weigh the inverse of their class's rate, so that the curve sees the real shares at every size. Rows without
+    a label, doc_id or text aren't learned from; a document labelled twice counts as toxic if one label says so.
     """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).where(~held_out())
     sizes = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("y") == 1, F.lit(sample / max(sizes.get(1, 0), sample))).otherwise(F.lit(sample / max(sizes.get(0, 0), sample)))
+    rates = {y: sample / max(sizes.get(y, 0), sample) for y in (0, 1)}
+    share = F.when(F.col("y") == 1, F.lit(rates[1])).otherwise(F.lit(rates[0]))
     drawn = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = text_rows(docs).join(drawn, "doc_id").select("doc_id", "y", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    rows = text_rows(docs).join(drawn, "doc_id").select("doc_id", "y", "text").collect()
     rows = sorted({(r["doc_id"], r["y"], r["text"]) for r in rows})
-    return train([r[2] for r in rows], [r[1] for r in rows])
+    return train([r[2] for r in rows], [r[1] for r in rows], [1 / rates[int(r[1] == 1)] for r in rows])
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
