@@ -1,20 +1,24 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one on ordinary text and what recurs in toxic
-documents only. A window that compresses to fewer bytes with the second resembles toxic text. A toxic document is
-mostly ordinary prose, and single labels may be wrong, so the toxic part is trained on the words that a good share of
-all toxic documents have and ordinary ones don't. A document's features are its windows' advantages: the largest, the
-three largest, the sum of clear ones and the mean; a logistic curve fitted on labelled rows turns them into a score
-whose calibrated threshold is 0.5.
+Two zstandard dictionaries are trained: one on ordinary text, and one on ordinary text and passages of toxic text. A
+window that compresses to fewer bytes with the second resembles toxic text. A toxic document is mostly ordinary prose,
+so the toxic part is trained on those of its passages whose byte strings stand in toxic documents significantly more
+often than in ordinary ones (a likelihood-ratio test over all strings of GRAM bytes, each counted once for each
+context, so that copies of a document don't count again). Nothing is split into words and no language is known.
+
+A document's features are counts of windows by advantage, against what chance gives a document of its length, and the
+largest advantages. A logistic curve turns them into a margin; features that it is fitted on come from dictionaries of
+the other half of the rows. The score is 0.5 at the margin that at most ALLOWED of ordinary labelled rows exceed, so the
+threshold doesn't depend on the share of toxic rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +30,20 @@ WINDOW, STEP = 48, 36
 #: Labelled documents of a class that the dictionaries and the curve are fitted on, at most about.
 SAMPLE = 2000
 #: Bytes of the ordinary dictionary, and (bytes, segment) of the toxic parts that are tried.
-ORDINARY, TOXIC = 16_384, ((256, 32), (256, 64), (512, 48))
-#: Share of the commonest toxic word's documents that a word must have, and how much commoner than in ordinary ones it must be.
-COMMON, RATIO = 0.25, 20
+ORDINARY, TOXIC = 16_384, ((1024, 16), (2048, 16), (2048, 24))
+#: Bytes of the strings that are compared between the classes, and of the context on each side that makes two of their places differ.
+GRAM, CONTEXT = 6, 8
+#: Probability of a false find among all strings, and how much more frequent in toxic text a string must be.
+CHANCE, RATIO = 0.01, 4
+#: Share of ordinary labelled rows that may score 0.5 or more.
+ALLOWED = 0.02
+#: Bytes that a window must save to count.
+STEPS = (2, 4, 6, 8)
 FOLDS = 5
 LEVEL = 3
 #: The repeat offsets that every trained dictionary has right before its content.
 REPEATS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _plain(text: str) -> bytes:
@@ -61,10 +72,13 @@ def advantages(parts: list[bytes], toxic: bytes, ordinary: bytes) -> np.ndarray:
     return np.fromiter((len(b(p)) - len(a(p)) for p in parts), np.float64, len(parts))
 
 
-def features(saved: np.ndarray) -> np.ndarray:
-    """What the curve sees of a document."""
-    top = np.sort(saved)[::-1][:3]
-    return np.array([top[0], top.sum(), np.log1p(saved[saved > 3].sum()), np.maximum(saved, 0).mean(), np.log1p(len(saved))])
+def features(saved: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """What the curve sees of a document; usual: the shares of ordinary text's windows that save as many bytes as STEPS says."""
+    n = len(saved)
+    top = np.zeros(3)
+    top[: min(n, 3)] = np.sort(saved)[::-1][:3]
+    found = np.array([np.count_nonzero(saved >= t) for t in STEPS])
+    return np.concatenate([[top[0], top.sum(), np.log1p(n), np.maximum(saved, 0).mean()], (found - n * usual) / np.sqrt(n * usual + 1)])
 
 
 def _dictionary(parts: list[bytes], size: int, segment: int = 0) -> bytes:
@@ -76,27 +90,82 @@ def _dictionary(parts: list[bytes], size: int, segment: int = 0) -> bytes:
     return trained[trained.index(REPEATS) + len(REPEATS) :] or b" "
 
 
-def _recurring(bad: list[bytes], good: list[bytes]) -> set[bytes]:
-    """Words that recur in toxic documents and hardly stand in ordinary ones."""
-    often = Counter(w for t in bad for w in set(t.split()))
-    seldom = Counter(w for t in good for w in set(t.split()))
-    own = {w: n for w, n in often.items() if n >= 3 and n / len(bad) >= RATIO * (seldom[w] + 0.5) / max(len(good), 1)}
-    most = max(own.values(), default=0)
-    return {w for w, n in own.items() if n >= COMMON * most}
+def _strings(raw: bytes) -> np.ndarray:
+    """The string of GRAM bytes at each place of the text, as a number."""
+    a = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    n = max(len(a) - GRAM + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        out = (out << np.uint64(8)) | a[k : k + n]
+    return out
+
+
+def _contexts(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each string of the texts, and in how many different contexts it stands."""
+    strings, places = [], []
+    for raw in raws:
+        a = np.frombuffer(bytes(CONTEXT) + raw + bytes(CONTEXT), np.uint8).astype(np.uint64) + np.uint64(1)
+        own = _strings(raw)
+        h = np.zeros(len(own), np.uint64)
+        for k in range(GRAM + 2 * CONTEXT):
+            h = h * MIX ^ a[k : k + len(own)]
+        strings.append(own)
+        places.append(h)
+    if not strings:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    _, first = np.unique(np.concatenate(places), return_index=True)
+    return np.unique(np.concatenate(strings)[first], return_counts=True)
+
+
+def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, where = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate([a[1], b[1]]), len(keys)).astype(np.int64)
+
+
+def distinctive(bad: tuple[np.ndarray, np.ndarray], good: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The strings (sorted) that toxic text has significantly more often; bad, good: strings and their numbers of contexts."""
+    keys, n = bad
+    if not len(keys) or not len(good[0]):
+        return np.zeros(0, np.uint64)
+    at = np.minimum(np.searchsorted(good[0], keys), len(good[0]) - 1)
+    m = np.where(good[0][at] == keys, good[1][at], 0)
+    of_bad, of_good = n.sum(), good[1].sum()
+    share = of_bad / (of_bad + of_good)
+    g = 2 * (n * np.log(n / ((n + m) * share)) + np.where(m > 0, m * np.log(np.maximum(m, 1) / ((n + m) * (1 - share))), 0))
+    return keys[(g > 2 * np.log(len(keys) / CHANCE)) & (n / of_bad > RATIO * (m + 0.5) / of_good)]
+
+
+def passages(raws: list[bytes], found: np.ndarray) -> list[bytes]:
+    """The runs of the texts that distinctive strings cover, each once."""
+    out: set[bytes] = set()
+    for raw in raws if len(found) else []:
+        own = _strings(raw)
+        at = np.minimum(np.searchsorted(found, own), len(found) - 1)
+        edges = np.zeros(len(raw) + 2, np.int64)
+        hits = np.flatnonzero(found[at] == own)
+        np.add.at(edges, hits + 1, 1)
+        np.add.at(edges, hits + GRAM + 1, -1)
+        turns = np.flatnonzero(np.diff((np.cumsum(edges) > 0).astype(np.int8)))
+        out.update(raw[a:b] for a, b in zip(turns[::2], turns[1::2]))
+    return sorted(out)
 
 
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
     ordinary: bytes
+    usual: tuple[float, ...]
     center: tuple[float, ...]
     scale: tuple[float, ...]
     weights: tuple[float, ...]
     bias: float
 
+    def margin(self, saved: np.ndarray) -> float:
+        x = (features(saved, np.array(self.usual)) - self.center) / self.scale
+        return float(x @ np.array(self.weights) + self.bias)
+
     def score(self, text: str) -> float:
-        x = (features(advantages(windows(text), self.toxic, self.ordinary)) - self.center) / self.scale
-        return float(1 / (1 + np.exp(-np.clip(x @ np.array(self.weights) + self.bias, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.margin(advantages(windows(text), self.toxic, self.ordinary)), -30, 30))))
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -113,30 +182,44 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray
     return w, float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
 
 
-def train(texts: list[str], toxic: list[int], weights: list[float] | None = None) -> Model:
-    """A model of labelled texts, each of which stands for as many as its weight says; of the toxic dictionaries tried, the one whose curve fits best. Without both classes, or
-    without a word that recurs in toxic texts only, it gives every text the share of toxic labels, short of 0 and 1."""
+def train(texts: list[str], toxic: list[int]) -> Model:
+    """A model of labelled texts; of the toxic dictionaries tried, the one whose curve fits best. Each class weighs as
+    much as the other. Without both classes, or without a string that tells them apart, every text scores the share of toxic labels, 0.49 at most."""
     y = np.array(toxic, float)
-    weight = np.ones(len(y)) if weights is None else np.array(weights, float) * len(y) / sum(weights or [1.0])
-    bad = [_plain(t) for t, b in zip(texts, toxic) if b]
-    good = [_plain(t) for t, b in zip(texts, toxic) if not b]
-    words = _recurring(bad, good)
-    if not bad or not good or not words:
-        share = ((weight * y).sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
-        return Model(b" ", b" ", (0.0,) * 5, (1.0,) * 5, (0.0,) * 5, float(np.log(share / (1 - share))))
+    raws = [_plain(t) for t in texts]
+    # equal texts are in one half
+    half = np.array([xxhash.xxh64_intdigest(r) % 2 for r in raws], int)
+    of = {(c, h): sorted({r for r, b, k in zip(raws, y, half) if b == c and k == h}) for c in (0, 1) for h in (0, 1)}
+    seen = {k: _contexts(v) for k, v in of.items()}
+    bad, good = of[1, 0] + of[1, 1], of[0, 0] + of[0, 1]
+    found = distinctive(_added(seen[1, 0], seen[1, 1]), _added(seen[0, 0], seen[0, 1]))
+    if not bad or not good or not len(found):
+        share = min((y.sum() + 0.5) / (len(y) + 1), 0.49) if len(y) else 0.01
+        n = 4 + len(STEPS)
+        return Model(b" ", b" ", (0.0,) * len(STEPS), (0.0,) * n, (1.0,) * n, (0.0,) * n, float(np.log(share / (1 - share))))
     ordinary = _dictionary([t[i : i + 256] for t in good for i in range(0, len(t), 256)], ORDINARY)
-    residue = [r for r in (b" " + b" ".join(w for w in t.split() if w in words) + b" " for t in bad) if len(r) > 8]
+    of_half = [passages(of[1, h], distinctive(seen[1, h], seen[0, h])) for h in (0, 1)]
+    whole = passages(bad, found)
     split = [windows(t) for t in texts]
+    weight = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum()))
     best: tuple[float, Model] | None = None
     for size, segment in TOXIC:
-        poison = ordinary + _dictionary(residue, size, segment)
-        x = np.array([features(advantages(w, poison, ordinary)) for w in split])
+        parts = [ordinary + _dictionary(p, size, segment) for p in of_half]
+        saved = [advantages(w, parts[1 - h], ordinary) for w, h in zip(split, half)]
+        usual_all = np.concatenate([s for s, b in zip(saved, y) if not b])
+        usual = np.array([np.count_nonzero(usual_all >= t) for t in STEPS]) / len(usual_all)
+        x = np.array([features(s, usual) for s in saved])
         center = np.average(x, axis=0, weights=weight)
         scale = np.sqrt(np.average((x - center) ** 2, axis=0, weights=weight)) + 1e-9
         w, loss = _curve(np.hstack([(x - center) / scale, np.ones((len(x), 1))]), y, weight)
         if best is None or loss < best[0]:
-            best = loss, Model(poison, ordinary, tuple(map(float, center)), tuple(map(float, scale)), tuple(map(float, w[:-1])), float(w[-1]))
-    return best[1]
+            toxic_part = ordinary + _dictionary(whole, size, segment)
+            best = loss, Model(toxic_part, ordinary, *(tuple(map(float, v)) for v in (usual, center, scale, w[:-1])), 0.0)
+    # ordinary rows have no part in the toxic dictionary, so all of them tell how far ordinary text gets with it
+    model = best[1]
+    margins = np.sort([model.margin(advantages(w, model.toxic, ordinary)) for w, b in zip(split, y) if not b])
+    limit = margins[max(int(np.ceil(len(margins) * (1 - ALLOWED))) - 1, 0)]
+    return replace(model, bias=-float(limit) - 1e-9)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -147,17 +230,17 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of at most about `sample` labelled documents of each class, drawn by a hash of doc_id, none of them held out.
 
-    Drawn rows weigh the inverse of their class's rate, so that the curve sees the real shares at every size. Rows without
-    a label, doc_id or text aren't learned from; a document labelled twice counts as toxic if one label says so.
+    The drawn ids, at most about 2 * sample, are broadcast, so that no text is shuffled. Rows without a label, doc_id or
+    text aren't learned from; a document labelled twice counts as toxic if one label says so.
     """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).where(~held_out())
     sizes = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rates = {y: sample / max(sizes.get(y, 0), sample) for y in (0, 1)}
     share = F.when(F.col("y") == 1, F.lit(rates[1])).otherwise(F.lit(rates[0]))
     drawn = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = text_rows(docs).join(drawn, "doc_id").select("doc_id", "y", "text").collect()
+    rows = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text").collect()
     rows = sorted({(r["doc_id"], r["y"], r["text"]) for r in rows})
-    return train([r[2] for r in rows], [r[1] for r in rows], [1 / rates[int(r[1] == 1)] for r in rows])
+    return train([r[2] for r in rows], [r[1] for r in rows])
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
