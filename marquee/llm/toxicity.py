@@ -36,7 +36,7 @@ GRAM, CONTEXT = 6, 8
 #: Probability of a false find among all strings, and how much more frequent in toxic text a string must be.
 CHANCE, RATIO = 0.01, 4
 #: Share of ordinary labelled rows that may score 0.5 or more.
-ALLOWED = 0.02
+ALLOWED = 0.01
 #: Bytes that a window must save to count.
 STEPS = (2, 4, 6, 8)
 FOLDS = 5
