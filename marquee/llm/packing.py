@@ -1,11 +1,14 @@
 """Packing of documents into sequences by a configuration linear program.
 
 A document's ids, then id 0, make one piece, or several of exactly `capacity` behind a possibly shorter first one. Only
-the histogram of piece lengths, at most `capacity` numbers, reaches the driver. There multiplicative weights price the
-lengths, a knapsack dynamic program finds the best-priced configuration (how many pieces of which lengths share a
-sequence), and the configuration is used a rounded number of times; what is left of each length lowers its weight
-less, so that scarce and hard lengths are paired while partners last. A few left-over pieces are placed by best fit.
-Each piece then finds its place from its rank among the pieces of its length.
+the histogram of piece lengths, at most `capacity` numbers, reaches the driver. There the linear program "cover every
+length's count by configurations (how many pieces of which lengths share a sequence), using as few as possible" is
+solved by multiplicative weights: a length's price falls exponentially with the share of its count that the fractional
+solution covers, a knapsack dynamic program finds the best-priced configurations, and their fractional amounts grow by
+small steps. Prices also give a lower bound (a feasible dual). The solution is then rounded down, and what is left of
+the histogram goes by best fit decreasing; the rounding that takes fewest sequences counts, and rounding everything to
+zero is one of those tried, so the result never has more sequences than best fit decreasing. Each piece then finds its
+place from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -27,8 +30,14 @@ from marquee.llm.common import map_arrow, materialise, text_rows
 CAPACITY = 2048
 #: Words whose ids a task keeps at a time.
 TABLE = 300_000
-#: Ranks within a length are counted in so many parts, so that no length lands in one task.
-PARTS = 64
+#: Ranks within a length are counted in parts of about so many pieces, so that no length lands in one task.
+PART_ROWS = 100_000
+#: Steps of the multiplicative weights, the share of the bound that each adds at most, how fast prices react, and how far below the best price a used configuration may be.
+ROUNDS, STEP, ETA, SLACK = 160, 1 / 32, 2.0, 0.02
+#: Share of the lengths, another one in each step, that sequences may be filled with, so that no few lengths fill them all.
+FILLERS = 0.2
+#: Configurations that the rounded solution keeps at most, those used most; the rest of the solution goes by best fit.
+KEPT = 20_000
 #: The splitting expression of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -92,80 +101,146 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return map_arrow(text_rows(docs), run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def best_configuration(price: np.ndarray, capacity: int) -> dict[int, int]:
-    """How often to use each length (index of price, 1 to capacity; price 0: none left) for the highest total price."""
-    lengths = np.flatnonzero(price > 0)
-    worth = price[lengths]
+Configuration = tuple[tuple[int, int], ...]
+
+
+def knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to capacity the highest total price of pieces that fit it, and the length to take next (0: none), the longest of equals. price: by length, 0 to capacity."""
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c], took[c] = best[c - 1], 0
-        if k := upto[c]:
-            total = best[c - lengths[:k]] + worth[:k]
-            i = int(total.argmax())
-            if total[i] > best[c]:
-                best[c], took[c] = total[i], lengths[i]
-    found: dict[int, int] = {}
-    c = capacity
-    while c:
-        if took[c]:
-            found[int(took[c])] = found.get(int(took[c]), 0) + 1
-            c -= int(took[c])
+    backward = price[::-1].copy()
+    for room in range(1, capacity + 1):
+        total = best[:room] + backward[capacity - room : capacity]
+        i = int(total.argmax())
+        best[room] = best[room - 1]
+        if total[i] > best[room]:
+            best[room], took[room] = total[i], room - i
+    return best, took
+
+
+def _filled(room: int, took: np.ndarray, first: int = 0) -> Configuration:
+    """The configuration that the knapsack's steps give, beside a piece of length `first`."""
+    found = {first: 1} if first else {}
+    while room > 0:
+        if step := int(took[room]):
+            found[step] = found.get(step, 0) + 1
+            room -= step
         else:
-            c -= 1
-    return found
+            room -= 1
+    return tuple(sorted(found.items(), reverse=True))
 
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, eta: float = 4.0, share: float = 0.5, few: int = 512, rounds: int = 1500) -> list[tuple[dict[int, int], int]]:
-    """(configuration, times) that together use every piece of the histogram exactly once.
+def solve(count: np.ndarray, capacity: int = CAPACITY) -> tuple[dict[Configuration, float], float]:
+    """(fractional configurations, lower bound) of the linear program for count[length] pieces of each length.
 
-    Each round prices a length at its own size times exp(eta * the share of it that is left), finds the best
-    configuration and uses it `share` as often as the scarcest of its lengths allows, once at least. After `rounds`
-    the share is 1, so that every further round uses up a length. The last `few` pieces go by best fit, longest first.
+    The amounts cover all pieces' tokens once; some lengths more often and some less than their count. The bound is on
+    the program's optimum, and so on the sequences of any packing.
     """
+    lengths = np.flatnonzero(count)
+    size = np.arange(capacity + 1) / capacity
+    tokens = bound = float(count @ size)
+    amounts: dict[Configuration, float] = {}
+    covered, share = np.zeros(capacity + 1), np.zeros(len(lengths))
+    draw = np.random.default_rng(capacity)
+    for step in range(ROUNDS if len(lengths) else 0):
+        # a price falls with the share that is covered, against the mean of all
+        price = np.zeros(capacity + 1)
+        price[lengths] = size[lengths] * np.exp((ETA * (1 - share / max(share.mean(), 1e-12))).clip(-3, 1))
+        if step % 8 == 0:
+            best, _ = knapsack(price, capacity)
+            most = best[capacity]
+            bound = max(bound, float(count @ price) / most)
+        best, took = knapsack(price * (draw.random(capacity + 1) < FILLERS), capacity)
+        # the best configuration that holds each length, where it is nearly the best of all
+        value = price[lengths] + best[capacity - lengths]
+        most = max(most, float(value.max()))
+        anchors = np.flatnonzero(value >= (1 - SLACK) * most)
+        anchors = anchors if len(anchors) else np.array([int(value.argmax())])
+        found = [_filled(capacity - int(x), took, int(x)) for x in lengths[anchors]]
+        wish = (count * price)[lengths[anchors]]
+        wish *= STEP * bound / wish.sum()
+        use = np.zeros(capacity + 1)
+        for configuration, w in zip(found, wish):
+            for length, n in configuration:
+                use[length] += n * w
+        # no length is covered by more than a few steps at once
+        brake = np.ones(capacity + 1)
+        brake[lengths] = np.minimum(1, 4 * STEP * count[lengths] / np.maximum(use[lengths], 1e-12))
+        for configuration, w in zip(found, wish):
+            w *= min(brake[length] for length, _ in configuration)
+            amounts[configuration] = amounts.get(configuration, 0.0) + w
+            for length, n in configuration:
+                covered[length] += n * w
+        share = covered[lengths] / count[lengths]
+    scale = tokens / max(float(covered @ size), 1e-12)
+    return {c: w * scale for c, w in amounts.items()}, bound
+
+
+def best_fit(left: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Configuration, int]]:
+    """Best fit decreasing of left[length] pieces of each length, as (configuration, times); equal sequences are filled at once."""
+    rooms: list[dict[Configuration, int]] = [{} for _ in range(capacity + 1)]
+
+    def put(room: int, configuration: Configuration, times: int) -> None:
+        if times:
+            rooms[room][configuration] = rooms[room].get(configuration, 0) + times
+
+    for length in map(int, np.flatnonzero(left)[::-1]):
+        n = int(left[length])
+        for room in range(length, capacity + 1):
+            each = room // length
+            while n and rooms[room]:
+                configuration, times = rooms[room].popitem()
+                full = min(times, n // each)
+                put(room - each * length, (*configuration, (length, each)), full)
+                n -= full * each
+                times -= full
+                if times and n:
+                    put(room - n * length, (*configuration, (length, n)), 1)
+                    n, times = 0, times - 1
+                put(room, configuration, times)
+            if not n:
+                break
+        each = capacity // length
+        put(capacity - each * length, ((length, each),), n // each)
+        if n % each:
+            put(capacity - n % each * length, ((length, n % each),), 1)
+    return [(c, times) for room in rooms for c, times in room.items()]
+
+
+def _rounded(amounts: dict[Configuration, float], count: np.ndarray, part: float, capacity: int) -> list[tuple[Configuration, int]]:
+    """Whole times of the configurations, `part` of their amounts rounded down and never beyond what is left; best fit for the rest."""
+    left, plan = count.copy(), []
+    for configuration, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0]))[:KEPT] if part else ():
+        times = min([int(amount * part), *(int(left[length]) // n for length, n in configuration)])
+        if times:
+            plan.append((configuration, times))
+            for length, n in configuration:
+                left[length] -= n * times
+    return plan + best_fit(left, capacity)
+
+
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Configuration, int]], int]:
+    """((configuration, times) that together use every piece of the histogram exactly once, lower bound on their number)."""
     count = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         count[length] = n
-    left, size = count.copy(), np.arange(capacity + 1, dtype=float)
-    plan: list[tuple[dict[int, int], int]] = []
-    if left[capacity]:
-        plan.append(({capacity: 1}, int(left[capacity])))
-        left[capacity] = 0
-    done = 0
-    while left.sum() > few:
-        weight = np.exp(eta * left / np.maximum(count, 1))
-        found = best_configuration(np.where(left > 0, size * weight, 0), capacity)
-        found = {length: min(n, int(left[length])) for length, n in found.items()}
-        most = min(int(left[length]) // n for length, n in found.items())
-        times = max(1, int(most * (share if done < rounds else 1)))
-        plan.append((found, times))
-        for length, n in found.items():
-            left[length] -= n * times
-        done += 1
-    free: list[int] = []
-    last: list[dict[int, int]] = []
-    for length in [x for x in range(capacity, 0, -1) for _ in range(left[x])]:
-        fit = min((f, i) for i, f in enumerate(free) if f >= length) if any(f >= length for f in free) else None
-        if fit is None:
-            free.append(capacity)
-            last.append({})
-            fit = (capacity, len(free) - 1)
-        free[fit[1]] -= length
-        last[fit[1]][length] = last[fit[1]].get(length, 0) + 1
-    return plan + [(c, 1) for c in last]
-
-
-def _places(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, ...]]:
+    whole, count[capacity] = int(count[capacity]), 0
+    amounts, bound = solve(count, capacity)
+    plans = [_rounded(amounts, count, part, capacity) for part in (1.0, 0.5, 0.0)]
+    plan = min(plans, key=lambda p: sum(times for _, times in p))
+    return [(((capacity, 1),), whole)] * (whole > 0) + plan, whole + int(np.ceil(bound - 1e-6))
+
+
+def _places(plan: list[tuple[Configuration, int]]) -> dict[int, tuple[np.ndarray, ...]]:
     """By length: first rank of each run of ranks, and for the run its pieces a sequence, first sequence and first offset."""
     rows: dict[int, list[tuple[int, int, int, int]]] = {}
     reached: dict[int, int] = {}
     sequence = 0
     for found, times in plan:
         offset = 0
-        for length in sorted(found, reverse=True):
-            rows.setdefault(length, []).append((reached.get(length, 0), found[length], sequence, offset))
-            reached[length] = reached.get(length, 0) + found[length] * times
-            offset += length * found[length]
+        for length, n in found:
+            rows.setdefault(length, []).append((reached.get(length, 0), n, sequence, offset))
+            reached[length] = reached.get(length, 0) + n * times
+            offset += length * n
         sequence += times
     return {length: tuple(np.array(c, np.int64) for c in zip(*r)) for length, r in rows.items()}
 
@@ -174,17 +249,19 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
 
     path: the vocabulary file; by default the public byte-level one. Null and empty texts are one piece of one id;
-    repeated rows are packed each; an empty table gives an empty result. The plan that tasks hold is bounded by
-    `capacity` lengths times the rounds of configurations(), whatever the number of documents.
+    repeated rows are packed each; an empty table gives an empty result. The plan that tasks hold has KEPT configurations
+    and those of best_fit(), which depend on the lengths that occur, not on the number of documents.
     """
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    cut = materialise(pieces(docs, path, capacity).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")))
+    cut = materialise(pieces(docs, path, capacity))
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = max(1, -(-sum(histogram.values()) // PART_ROWS))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
     counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = _places(configurations(histogram, capacity))
+    places = _places(configurations(histogram, capacity)[0])
     before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     ranked = (
         cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1)
