@@ -258,7 +258,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
         path = public_tokenizers.path("byte_bpe_50k.json")
     cut = materialise(pieces(docs, path, capacity))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    parts = max(1, -(-sum(histogram.values()) // PART_ROWS))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(histogram.values()) // PART_ROWS))
     cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
     counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     places = _places(configurations(histogram, capacity)[0])

@@ -129,15 +129,9 @@ def _distance(a, b):
 
 
 def test_line_dedup_equals_all_pairs(spark):
-    docs = documents(spark).where("doc_id < 90")
+    docs = documents(spark).where("doc_id < 40")
     source = sorted((r.doc_id, r.text) for r in docs.collect())
-    kept = {(d, p): line for d, t in source for p, line in enumerate(t.split("\n")) if _line_words(line)}
-
-    def sim(line):
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in _line_words(line)]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-    hashes = {k: sim(v) for k, v in kept.items()}
+    kept = {(d, p): " ".join(_line_words(line)) for d, t in source for p, line in enumerate(t.split("\n")) if _line_words(line)}
     root = {k: k for k in kept}
 
     def find(x):
@@ -145,18 +139,30 @@ def test_line_dedup_equals_all_pairs(spark):
             x = root[x]
         return x
 
-    keys = sorted(kept)
-    for i, a in enumerate(keys):
-        for b in keys[:i]:
-            if kept[a] == kept[b] or (hashes[a] ^ hashes[b]).bit_count() <= lines.RADIUS:
-                x, y = " ".join(_line_words(kept[a])), " ".join(_line_words(kept[b]))
-                if find(a) != find(b) and (x == y or _distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9)):
-                    p, q = sorted((find(a), find(b)))
-                    root[q] = p
+    def link(a, b):
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+
+    first = {}
+    for k in sorted(kept):
+        link(first.setdefault(kept[k], k), k)
+    # all pairs by edit similarity alone
+    table = spark.createDataFrame([(x,) for x in sorted(first)], "x string")
+    most = "cast(floor(greatest(length(x), length(y)) * 0.2D + 1e-9D) as int)"
+    near = table.repartition(16).crossJoin(table.withColumnRenamed("x", "y")).where(f"x < y and abs(length(x) - length(y)) <= {most}").where(f"levenshtein(x, y, {most}) >= 0")
+    for r in near.collect():
+        link(first[r.x], first[r.y])
     want = {d: "\n".join(line for p, line in enumerate(t.split("\n")) if not _line_words(line) or find((d, p)) == (d, p)) for d, t in source}
     assert {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()} == want
 
 
+def test_trimmed_lines_keep_their_distance(spark):
+    table = spark.createDataFrame([("a b c", "a c"), ("a", "a b"), ("a b", "c a b"), ("a b c", "a b c"), ("x y", "p q r"), ("aa bb cc dd", "aa bx cc dd"), ("b b b", "b b"), ("ab", "a")], "x string, y string")
+    p, q = lines._differing("v", "w")
+    for r in table.selectExpr("x", "y", "split(x, ' ') as v", "split(y, ' ') as w").selectExpr("x", "y", f"levenshtein({p}, {q}) as d").collect():
+        assert r.d == _distance(r.x, r.y), r
+
+
 def test_line_dedup_of_awkward_rows(spark):
     got = lines.dedup_lines(awkward(spark))
     assert got.columns[-2:] == ["n_lines", "n_removed"]
