@@ -90,3 +90,20 @@ def normal_cdf(z: Column) -> Column:
     poly = t * (F.lit(0.254829592) + t * (F.lit(-0.284496736) + t * (F.lit(1.421413741) + t * (F.lit(-1.453152027) + t * F.lit(1.061405429)))))
     erf = 1 - poly * F.exp(-x * x)
     return F.when(z >= 0, (1 + erf) / 2).otherwise((1 - erf) / 2)
+
+
+def replace_terms(text: Column, mapping: dict[str, str]) -> Column:
+    """Each key of the mapping, in its order, replaced by its value wherever it stands."""
+    for old, new in mapping.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def parse_log(line: Column, schema: str) -> Column:
+    """A log line's JSON fields as a struct by a DDL schema; a field that is missing is null, and so are all of a broken line."""
+    return F.from_json(line, schema)
+
+
+def distinct_count(column: str, approx: bool = False, error: float = 0.05) -> Column:
+    """Number of distinct values: exact, or by HyperLogLog++ within about `error`, which shuffles one sketch a task instead of the values."""
+    return F.approx_count_distinct(column, error) if approx else F.count_distinct(column)

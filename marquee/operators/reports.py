@@ -20,6 +20,13 @@ def percent(part: Column, whole: Column, places: int) -> Column:
     return F.round(F.try_divide(100.0 * part, whole), places)
 
 
+def exact_mean(column: str, places: int = 4) -> Column:
+    """Mean of values of up to six decimal places, none negative, rounded half up; in whole numbers, so that ties don't depend on the order of the sum."""
+    total, n = F.sum(F.round(F.col(column) * 1_000_000).cast("bigint")), F.count(column)
+    step = 10 ** (6 - places)
+    return F.when(n > 0, F.floor((2 * total + step * n) / (2 * step * n)) / 10**places).alias(column)
+
+
 def top_watched(items: DataFrame, events: DataFrame, min_viewers: int = 10, n: int = 10) -> DataFrame:
     done = events.where("event_type = 'watch_complete'").join(items, "doc_id")
     stats = done.groupBy("doc_id", "title", "genres").agg(F.count("event_id").alias("total_watches"), F.round(F.avg("watch_pct"), 3).alias("avg_completion_rate"), F.count_distinct("user_id").alias("unique_viewers"))
@@ -29,7 +36,7 @@ def top_watched(items: DataFrame, events: DataFrame, min_viewers: int = 10, n: i
 def method_ablation(recs: DataFrame, as_of: str, min_searches: int = 100) -> DataFrame:
     stats = recent(recs, "served_at", "7 DAYS", as_of).groupBy("method").agg(
         F.count("rec_id").alias("total_searches"),
-        F.round(F.avg("ndcg_at_10"), 4).alias("avg_ndcg_at_10"),
+        exact_mean("ndcg_at_10").alias("avg_ndcg_at_10"),
         F.round(F.avg("latency_ms"), 1).alias("avg_latency_ms"),
         percent(count_where(F.col("cache_hit")), F.count("*"), 1).alias("cache_hit_rate_pct"),
         F.round(F.percentile("latency_ms", 0.95), 1).alias("p95_latency_ms"),
@@ -75,7 +82,7 @@ def similar_titles(pairs: DataFrame, items: DataFrame, title: str, min_count: in
 def term_popularity(recs: DataFrame, users: DataFrame, as_of: str, min_recs: int = 20) -> DataFrame:
     served = recent(recs, "served_at", "30 DAYS", as_of).where("ndcg_at_10 is not null").select("user_id", "rec_id", "ndcg_at_10", F.explode(F.split("query", " ")).alias("genre"))
     stats = served.join(users.select("user_id", "profile_type"), "user_id").groupBy("profile_type", F.trim("genre").alias("genre")).agg(
-        F.count_distinct("user_id").alias("users_searched"), F.count("rec_id").alias("total_recommendations"), F.round(F.avg("ndcg_at_10"), 4).alias("avg_ndcg")
+        F.count_distinct("user_id").alias("users_searched"), F.count("rec_id").alias("total_recommendations"), exact_mean("ndcg_at_10").alias("avg_ndcg")
     )
     return stats.where(F.col("total_recommendations") >= min_recs)
 

@@ -81,11 +81,11 @@ SELECT * FROM (
 WHERE relevance > 0
 """,
     "query_vectors": """
-SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 20
+SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0
 """,
     "vector_qrels": """
 SELECT q.vec_id AS query_id, d.vec_id AS doc_id, 1 AS relevance
-FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id < 20
+FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0
 """,
     "content_metadata": """
 SELECT p_partkey AS doc_id, p_name AS title,
@@ -118,7 +118,7 @@ SELECT query_id, doc_id, score, rank FROM (
   SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM (
     SELECT q.vec_id AS query_id, d.vec_id AS doc_id,
            CAST((d.vec_id * 7919 + q.vec_id * 104729) % 1009 AS DOUBLE) / 1009 + CASE WHEN q.label = d.label THEN 0.1 ELSE 0 END AS score
-    FROM embeddings q JOIN embeddings d ON q.vec_id < 20 AND q.vec_id <> d.vec_id) x) y
+    FROM embeddings q JOIN embeddings d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id) x) y
 WHERE rank <= 50
 """,
     "ranked_b": """
@@ -126,12 +126,12 @@ SELECT query_id, doc_id, score, rank FROM (
   SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM (
     SELECT q.vec_id AS query_id, d.vec_id AS doc_id,
            CAST((d.vec_id * 6367 + q.vec_id * 104729) % 1009 AS DOUBLE) / 1009 + CASE WHEN q.label = d.label THEN 0.3 ELSE 0 END AS score
-    FROM embeddings q JOIN embeddings d ON q.vec_id < 20 AND q.vec_id <> d.vec_id) x) y
+    FROM embeddings q JOIN embeddings d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id) x) y
 WHERE rank <= 50
 """,
     "graded_qrels": """
 SELECT q.vec_id AS query_id, d.vec_id AS doc_id, CAST(1 + d.vec_id % 2 AS INT) AS relevance
-FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id < 20
+FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0
 """,
     # every event as an impression of an item, with what came of it
     "impression_log": """

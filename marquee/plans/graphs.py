@@ -36,8 +36,8 @@ QUERIES = {
     ),
     "g04_neighbors": (lambda d: G.neighbors(G.genre_edges(items(d)), 5), f"WITH {GENRE} SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS INT) AS rank FROM ge QUALIFY rank <= 5"),
     "g05_find_titles": (
-        lambda d: G.find_titles(d.items.where("doc_id % 7 = 0").select(F.upper("title").alias("title")).unionByName(d.items.where("doc_id % 11 = 0").select(F.split("title", " ")[0].alias("title"))).distinct(), d.items),
-        """WITH t AS (SELECT title, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS k FROM (SELECT upper(title) AS title FROM items WHERE doc_id % 7 = 0 UNION SELECT split_part(title, ' ', 1) FROM items WHERE doc_id % 11 = 0)),
+        lambda d: G.find_titles(d.items.select(F.upper("title").alias("title")).unionByName(d.items.select(F.split("title", " ")[0].alias("title"))).distinct(), d.items),
+        """WITH t AS (SELECT title, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS k FROM (SELECT upper(title) AS title FROM items UNION SELECT split_part(title, ' ', 1) FROM items)),
         i AS (SELECT doc_id, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS ik FROM items), e AS (SELECT title, min(doc_id) AS doc_id FROM t JOIN i ON k = ik GROUP BY 1)
         SELECT title, doc_id, 'equal' AS match FROM e UNION ALL SELECT title, min(doc_id), 'contains' FROM t JOIN i ON contains(ik, k) OR contains(k, ik) WHERE title NOT IN (SELECT title FROM e) GROUP BY 1""",
     ),

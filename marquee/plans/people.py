@@ -54,7 +54,7 @@ QUERIES = {
         seen AS (SELECT DISTINCT user_id, doc_id FROM (SELECT user_id, doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM wt) WHERE r <= 20),
         conf AS (SELECT user_id, least(1, greatest(0.1, ln(1 + count(*)) / ln(51))) AS c FROM wt GROUP BY 1)
         SELECT user_id, count(*) AS n, round(sum(round(CASE WHEN (user_id, doc_id) IN (SELECT (user_id, doc_id) FROM wt WHERE negative) THEN -10 ELSE
-        (coalesce(fit, 0) - CASE WHEN (user_id, doc_id) IN (SELECT (user_id, doc_id) FROM seen) THEN 2 ELSE 0 END) * c END, 4)), 2) AS total FROM cand LEFT JOIN fit USING (user_id, doc_id) LEFT JOIN conf USING (user_id) GROUP BY 1""",
+        round((coalesce(fit, 0) - CASE WHEN (user_id, doc_id) IN (SELECT (user_id, doc_id) FROM seen) THEN 2 ELSE 0 END) * c, 9) END, 4)), 2) AS total FROM cand LEFT JOIN fit USING (user_id, doc_id) LEFT JOIN conf USING (user_id) GROUP BY 1""",
     ),
     "w06_drift_score": (
         lambda d: H.drift_score(d.interactions, genres(d)),

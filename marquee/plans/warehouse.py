@@ -18,7 +18,7 @@ QUERIES = {
     ),
     "q02_method_ablation": (
         lambda d: Q.method_ablation(d.recommendations, AS_OF),
-        f"""SELECT method, count(rec_id) AS total_searches, round(avg(ndcg_at_10), 4) AS avg_ndcg_at_10, round(avg(latency_ms), 1) AS avg_latency_ms,
+        f"""SELECT method, count(rec_id) AS total_searches, (2 * sum(CAST(round(ndcg_at_10 * 1000000) AS BIGINT)) + 100 * count(ndcg_at_10)) // (200 * count(ndcg_at_10)) / 10000 AS avg_ndcg_at_10, round(avg(latency_ms), 1) AS avg_latency_ms,
         round(100.0 * count(*) FILTER (cache_hit) / count(*), 1) AS cache_hit_rate_pct, round(quantile_cont(latency_ms, 0.95), 1) AS p95_latency_ms, round(quantile_cont(latency_ms, 0.99), 1) AS p99_latency_ms
         FROM recommendations WHERE {since('served_at', '7 DAY')} GROUP BY method HAVING count(*) >= 100""",
     ),
@@ -40,7 +40,7 @@ QUERIES = {
     ),
     "q05_term_popularity": (
         lambda d: Q.term_popularity(d.recommendations, d.users, AS_OF),
-        f"""SELECT profile_type, trim(genre) AS genre, count(DISTINCT user_id) AS users_searched, count(rec_id) AS total_recommendations, round(avg(ndcg_at_10), 4) AS avg_ndcg
+        f"""SELECT profile_type, trim(genre) AS genre, count(DISTINCT user_id) AS users_searched, count(rec_id) AS total_recommendations, (2 * sum(CAST(round(ndcg_at_10 * 1000000) AS BIGINT)) + 100 * count(ndcg_at_10)) // (200 * count(ndcg_at_10)) / 10000 AS avg_ndcg
         FROM (SELECT user_id, rec_id, ndcg_at_10, served_at, unnest(string_split(query, ' ')) AS genre FROM recommendations) r JOIN users USING (user_id)
         WHERE {since('served_at', '30 DAY')} AND ndcg_at_10 IS NOT NULL GROUP BY 1, 2 HAVING count(rec_id) >= 20""",
     ),
