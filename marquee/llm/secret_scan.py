@@ -1,9 +1,11 @@
 """Secret scans with inferred grammars.
 
-Three fixed patterns find credentials that are labelled by what stands around or in them. From a bounded sample of
-those, a prefix tree of each kind's character classes is folded into a probabilistic automaton: states whose outgoing
-frequencies the Hoeffding bound can't tell apart are merged (the ALERGIA procedure). Every long token of every text
-is then scored by how much likelier the best automaton makes its format than ordinary tokens' letters do.
+Three fixed patterns find credentials that are labelled by what stands around or in them. A credential's shape is its
+runs of characters of one alphabet (lower-case hex digits, capitals and digits, ...) with their lengths. The prefix tree
+of each kind's shapes is folded into a probabilistic automaton: states whose outgoing frequencies, and those of all
+states behind them, the Hoeffding bound can't tell apart are merged (the ALERGIA procedure). Every long token of every
+text is then scored by how much likelier the best automaton makes its shape than the pairs of runs that ordinary tokens
+of all documents have.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import map_texts, text_rows
+from marquee.llm.common import discard, map_arrow, map_texts, materialise, text_rows
 
 #: The kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex")
@@ -30,12 +33,15 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Spans that the automata add.
 LEARNED = "format"
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Ordinary tokens, whose shapes are counted in all documents.
+ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 PLACEHOLDER = "[SECRET]"
-#: Documents whose spans the automata are fitted on (at most about), and values of a kind.
-SAMPLE, VALUES = 20_000, 400
-#: Confidence of the test that keeps two states apart, and nats a character that a candidate must gain.
-ALPHA, GAIN = 0.05, 0.5
-LONGEST = 128
+#: Values of a kind that its automaton is fitted on at most: those of smallest hash among all documents' values.
+VALUES = 400
+#: Confidence of the test that keeps two states apart, and nats that a candidate must gain.
+ALPHA, GAIN = 0.05, 10.0
+#: Symbols that can occur, about: alphabets, lengths and signs; each counts half a time more than seen.
+SYMBOLS = 80
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -56,21 +62,21 @@ def value_of(text: str, span: tuple[int, int, str]) -> str:
     return ASSIGN.match(value)[2] if span[2] == "assign" else value
 
 
-def _symbol(c: str) -> str:
-    if c.isdigit():
-        return "0"
-    if c.islower():
-        return "f" if c <= "f" else "z"
-    if c.isupper():
-        return "F" if c <= "F" else "Z"
-    return c
+RUNS = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
+#: Alphabets of a run, the narrowest that holds it counts.
+ALPHABETS = [("d", re.compile(r"[0-9]+")), ("a", re.compile(r"[a-z]+")), ("A", re.compile(r"[A-Z]+")), ("h", re.compile(r"[0-9a-f]+")), ("H", re.compile(r"[0-9A-F]+")), ("l", re.compile(r"[0-9a-z]+")), ("U", re.compile(r"[0-9A-Z]+")), ("m", re.compile(r"[A-Za-z]+")), ("x", re.compile(r"[0-9A-Za-z]+"))]
 
 
-SYMBOLS = {c: _symbol(c) for c in map(chr, range(33, 127))}
-
-
-def shape(value: str) -> str:
-    return "".join([SYMBOLS.get(c, "?") for c in value])
+def shape(value: str) -> tuple[str, ...]:
+    """The runs of the value: alphabet, then length (beyond 64 the power of two below), or the sign between them."""
+    out = []
+    for run in RUNS.findall(value):
+        if run.isalnum() and run.isascii():
+            n = len(run)
+            out += [next(name for name, all_of in ALPHABETS if all_of.fullmatch(run)), str(n if n <= 64 else 1 << (n.bit_length() - 1))]
+        else:
+            out.append(run)
+    return tuple(out)
 
 
 @dataclass
@@ -81,9 +87,9 @@ class Automaton:
     count: list[dict[str, int]] = field(default_factory=lambda: [{}])
     ends: list[int] = field(default_factory=lambda: [0])
 
-    def add(self, value: str) -> None:
+    def add(self, symbols: tuple[str, ...]) -> None:
         at = 0
-        for c in value:
+        for c in symbols:
             if c not in self.out[at]:
                 self.out[at][c] = len(self.out)
                 self.out.append({})
@@ -96,18 +102,26 @@ class Automaton:
     def total(self, at: int) -> int:
         return self.ends[at] + sum(self.count[at].values())
 
-    def alike(self, a: int, b: int, alpha: float, depth: int = 0) -> bool:
-        """Whether the Hoeffding bound lets both states, and what follows them, have the same frequencies."""
-        n, m = self.total(a), self.total(b)
-        if not n or not m:
-            return True
-        most = math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-        if abs(self.ends[a] / n - self.ends[b] / m) > most:
-            return False
-        for c in self.count[a].keys() | self.count[b].keys():
-            if abs(self.count[a].get(c, 0) / n - self.count[b].get(c, 0) / m) > most:
+    def alike(self, a: int, b: int, alpha: float) -> bool:
+        """Whether the Hoeffding bound lets both states, and all that follow them, have the same frequencies."""
+        stack, seen = [(a, b)], set()
+        while stack:
+            pair = stack.pop()
+            if pair in seen:
+                continue
+            seen.add(pair)
+            a, b = pair
+            n, m = self.total(a), self.total(b)
+            if not n or not m:
+                continue
+            most = math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            if abs(self.ends[a] / n - self.ends[b] / m) > most:
                 return False
-        return depth >= 8 or all(self.alike(self.out[a][c], self.out[b][c], alpha, depth + 1) for c in self.out[a].keys() & self.out[b].keys())
+            for c in self.count[a].keys() | self.count[b].keys():
+                if abs(self.count[a].get(c, 0) / n - self.count[b].get(c, 0) / m) > most:
+                    return False
+            stack += [(self.out[a][c], self.out[b][c]) for c in self.out[a].keys() & self.out[b].keys()]
+        return True
 
     def fold(self, into: int, tree: int) -> None:
         """Add the tree below `tree` to the states from `into` on."""
@@ -143,89 +157,101 @@ class Automaton:
         self.count = [self.count[r] for r in red]
         self.ends = [self.ends[r] for r in red]
 
-    def likelihood(self, value: str) -> float:
-        """Log-likelihood of the symbols; unseen ones have the weight of half a value among the symbols that exist."""
+    def likelihood(self, symbols: tuple[str, ...]) -> float:
+        """Log-likelihood of the symbols and that the value ends there; behind an unseen symbol all are equally likely."""
         at: int | None = 0
         got = 0.0
-        for c in value:
+        for c in symbols:
             if at is None:
-                got -= math.log(40)
+                got -= math.log(SYMBOLS)
                 continue
-            n = self.total(at)
-            got += math.log((self.count[at].get(c, 0) + 0.5) / (n + 10))
+            got += math.log((self.count[at].get(c, 0) + 0.5) / (self.total(at) + SYMBOLS / 2))
             at = self.out[at].get(c)
-        return got
+        return got - math.log(SYMBOLS) if at is None else got + math.log((self.ends[at] + 0.5) / (self.total(at) + SYMBOLS / 2))
+
+
+def _pairs(symbols: tuple[str, ...]) -> Iterator[tuple[str, str]]:
+    return zip(("^", *symbols), (*symbols, "$"))
 
 
 @dataclass
 class Formats:
-    """Automata of the kinds, and what symbols ordinary tokens have (pairs of neighbours)."""
+    """Automata of the kinds, and how often ordinary tokens have each pair of neighbouring symbols."""
 
     automata: dict[str, Automaton]
-    ordinary: dict[str, float]
-    other: float
+    ordinary: dict[tuple[str, str], int]
+    first: dict[str, int]
 
     def gain(self, value: str) -> float:
-        """Nats a character by which the best automaton beats ordinary tokens."""
+        """Nats by which the best automaton beats ordinary tokens."""
         symbols = shape(value)
-        base = sum(self.ordinary.get(a + b, self.other) for a, b in zip("^" + symbols, symbols))
-        return max(((a.likelihood(symbols) - base) / len(symbols) for a in self.automata.values()), default=-math.inf)
+        base = sum(math.log((self.ordinary.get(p, 0) + 0.5) / (self.first.get(p[0], 0) + SYMBOLS / 2)) for p in _pairs(symbols))
+        return max((a.likelihood(symbols) - base for a in self.automata.values()), default=-math.inf)
 
 
-def learn(values: list[tuple[str, str]], ordinary: list[str], alpha: float = ALPHA) -> Formats:
-    """Formats of (kind, value) pairs against ordinary tokens."""
+def learn(values: list[tuple[str, str]], ordinary: list[str] | dict[tuple[str, str], int], alpha: float = ALPHA) -> Formats:
+    """Formats of (kind, value) pairs against ordinary tokens, or counts of their pairs of symbols."""
+    if not isinstance(ordinary, dict):
+        ordinary = Counter(p for token in ordinary for p in _pairs(shape(token)))
     automata = {}
     for kind in KINDS:
-        own = [shape(v[:LONGEST]) for k, v in sorted(values) if k == kind]
+        own = [shape(v) for k, v in sorted(values) if k == kind]
         if own:
             automata[kind] = Automaton()
             for v in own:
                 automata[kind].add(v)
             automata[kind].merge_alike(alpha)
-    pairs, firsts = Counter(), Counter()
-    for token in ordinary:
-        symbols = shape(token)
-        for a, b in zip("^" + symbols, symbols):
-            pairs[a + b] += 1
-            firsts[a] += 1
-    return Formats(automata, {p: math.log((n + 0.5) / (firsts[p[0]] + 10)) for p, n in pairs.items()}, math.log(1e-3))
+    first: Counter = Counter()
+    for (a, _), n in ordinary.items():
+        first[a] += n
+    return Formats(automata, dict(ordinary), dict(first))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, values: int = VALUES) -> Formats:
-    """Formats learned from a sample of about `sample` documents at most, drawn by a hash of doc_id, and at most `values` values of a kind."""
-    rows = text_rows(docs)
-    n = rows.count()
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // sample)))) == 0)
+def _uncovered(text: str, spans: list[tuple[int, int, str]], token: re.Pattern) -> Iterator[re.Match]:
+    """The text's tokens that touch none of the spans (sorted by start), in one sweep."""
+    at, end = 0, 0
+    for m in token.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            end = max(end, spans[at][1])
+            at += 1
+        if end <= m.start():
+            yield m
 
-    def maker():
-        def work(texts: list[str]) -> list[list]:
-            out = []
-            for text in texts:
-                spans = base_spans(text)
-                words = [w for w in text.split() if w.isascii()][:: max(1, len(text) // 2000)]
-                out.append([{"kind": s[2], "value": value_of(text, s)} for s in spans] + [{"kind": "", "value": w} for w in words[:20]])
-            return [out]
-
-        return work
 
-    found = map_texts(drawn, maker, "found array<struct<kind:string,value:string>>").select(F.explode("found").alias("f")).select("f.*").distinct()
-    from pyspark.sql import Window
+def fit(docs: DataFrame, values: int = VALUES) -> Formats:
+    """Formats learned from at most `values` different values of each kind, those of smallest hash in all documents, and from all ordinary tokens of all documents."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            tokens: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                spans = base_spans(text)
+                found.update((s[2], value_of(text, s)) for s in spans)
+                tokens.update(m[0] for m in _uncovered(text, spans, ORDINARY))
+            for token, n in tokens.items():
+                for a, b in _pairs(shape(token)):
+                    found["", f"{a} {b}"] += n
+            kinds, names = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(names, pa.string()), pa.array(found.values(), pa.int64())], names=["kind", "value", "n"])
+
+    counted = materialise(map_arrow(text_rows(docs), run, "kind string, value string, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n")))
+    pairs = {tuple(r["value"].split(" ")): r["n"] for r in counted.where("kind = ''").collect()}
     order = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    kept = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.when(F.col("kind") == "", 10 * values).otherwise(values)).select("kind", F.substring("value", 1, LONGEST).alias("value")).collect()
-    return learn([(r["kind"], r["value"]) for r in kept if r["kind"]], sorted(r["value"] for r in kept if not r["kind"]))
+    kept = counted.where("kind <> ''").select("kind", "value", F.row_number().over(order).alias("r")).where(F.col("r") <= values).collect()
+    discard(counted)
+    return learn([(r["kind"], r["value"]) for r in kept], pairs)
 
 
 def all_spans(text: str, formats: Formats, gain: float = GAIN) -> list[tuple[int, int, str]]:
-    """The fixed patterns' spans and those of other tokens with a digit and a letter whose format the automata find likely."""
+    """The fixed patterns' spans and those of other tokens with a digit and a letter whose shape the automata find likely."""
     spans = base_spans(text)
-    for m in TOKEN.finditer(text):
+    added = []
+    for m in _uncovered(text, spans, TOKEN):
         value = m[0]
-        if value.isalpha() or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
-            continue
-        if not any(s[0] < m.end() and m.start() < s[1] for s in spans if s[2] != LEARNED) and formats.gain(value) >= gain:
-            spans.append((m.start(), m.end(), LEARNED))
-    return sorted(spans, key=lambda s: (s[0], (*KINDS, LEARNED).index(s[2])))
+        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and formats.gain(value) >= gain:
+            added.append((m.start(), m.end(), LEARNED))
+    return sorted(spans + added, key=lambda s: (s[0], (*KINDS, LEARNED).index(s[2])))
 
 
 def _written(spans: Iterator[tuple[int, int, str]] | list) -> str:
@@ -236,7 +262,7 @@ def scan(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every text; a null or empty text has no spans.
 
     One row for each row of docs. Positions count code points, ends are exclusive. Tokens of any length are scored
-    and reported whole; only the sample that the automata learn from is cut to 128 characters a value.
+    and reported whole.
     """
     known = formats or fit(docs)
 
@@ -269,10 +295,6 @@ def redact(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     """docs with the secrets in `text` replaced by a placeholder; null text stays null, other columns pass through."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    from marquee.llm.common import map_arrow
-
-    import pyarrow as pa
-
     known = formats or fit(docs)
     schema = to_arrow_schema(docs.schema)
     where = docs.columns.index("text")
