@@ -14,7 +14,6 @@ import re
 import unicodedata
 from functools import lru_cache
 
-import regex
 from pyspark.sql import DataFrame
 
 from marquee.llm.common import map_texts, text_rows
@@ -215,6 +214,37 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _ranges(points: list[int]) -> str:
+    """A character class's inside that lists the code points as ranges."""
+    out, first = [], 0
+    for i, p in enumerate(points):
+        if i + 1 == len(points) or points[i + 1] != p + 1:
+            out.append(f"\\U{points[first]:08x}-\\U{p:08x}")
+            first = i + 1
+    return "".join(out)
+
+
+@lru_cache(1)
+def library_tables() -> tuple[str, str, dict[int, str]]:
+    """Letters and numbers as the tokenizers library's expressions know them, and what its normaliser makes of code points that this Python's tables don't have.
+
+    The library's Unicode version is neither that of `unicodedata` nor that of the regex module, so its own classes are read once a process.
+    """
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    every = "".join(map(chr, points))
+
+    def class_of(expression: str) -> str:
+        found = pre_tokenizers.Split(Regex(expression), "removed", invert=True).pre_tokenize_str(every)
+        return _ranges([p for _, (a, b) in found for p in points[a:b]])
+
+    unknown = [c for c in points if unicodedata.category(chr(c)) == "Cn"]
+    lower = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    made = lower.normalize_str("\n".join(map(chr, unknown))).split("\n")
+    return class_of(r"\p{L}"), class_of(r"\p{N}"), {c: m for c, m in zip(unknown, made) if m != chr(c)}
+
+
 class WordBPE:
     """Encodes and decodes whole texts with a lower-casing vocabulary of words with end marks."""
 
@@ -223,14 +253,21 @@ class WordBPE:
         self.table: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.vocabulary.special, key=len, reverse=True))) + ")")
-        #: Splitting expression of the vocabulary file; its space class written out.
-        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
+        #: Splitting expression of the vocabulary file, its classes written out; compiled when a text needs it.
+        self.all_words: re.Pattern | None = None
         #: The same for texts of ASCII, Latin-1 and Latin Extended-A characters, whose classes can be listed.
         latin = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
         number = "0-9\xb2\xb3\xb9\xbc-\xbe"
         self.plain = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{latin}]+|[{number}]|[^\t-\r \x85\xa0{latin}{number}]+")
         self.odd = re.compile("[^\x00-\u017f]")
 
+    @property
+    def words(self) -> re.Pattern:
+        if self.all_words is None:
+            letter, number, _ = library_tables()
+            self.all_words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{SPACE}{letter}{number}]+")
+        return self.all_words
+
     def _word(self, word: str) -> tuple[int, str, str]:
         """What the table doesn't have; words still in use pass from the older half of the table to the younger."""
         known = self.older.pop(word, None)
@@ -253,7 +290,11 @@ class WordBPE:
                 continue
             # lower case without regard to the place in a word: a final capital sigma is no exception here
             plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-            words = (self.words if self.odd.search(plain) else self.plain).findall(plain)
+            if self.odd.search(plain):
+                plain = plain.translate(library_tables()[2])
+                words = self.words.findall(plain)
+            else:
+                words = self.plain.findall(plain)
             make = self._word
             found.extend(self.table.get(w) or make(w) for w in words)
         return found
