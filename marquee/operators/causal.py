@@ -44,32 +44,32 @@ def _uniform(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
-def _poisson(u: Column) -> Column:
-    """Poisson(1) by inversion, up to 7."""
-    out, p, total = F.lit(0), 0.36787944117144233, 0.0
-    steps = []
-    for k in range(8):
+def _poisson(u: Column, most: int = 15) -> Column:
+    """Poisson(1) by inversion, up to `most` (beyond it lie less than 1e-13 of the draws)."""
+    p, total, limits = 0.36787944117144233, 0.0, []
+    for k in range(most):
         total += p
-        steps.append((k, total))
+        limits.append(total)
         p /= k + 1
-    for k, t in reversed(steps[:-1]):
-        out = F.when(u < t, k).otherwise(out if k < 6 else F.lit(7))
+    out = F.lit(most)
+    for k, limit in reversed(list(enumerate(limits))):
+        out = F.when(u < limit, k).otherwise(out)
     return out
 
 
-def bootstrap(rows: DataFrame, key: str, value: str, iters: int = 200, seed: int = 7) -> DataFrame:
+def bootstrap(rows: DataFrame, key: str, value: str, iters: int = 3000, seed: int = 7) -> DataFrame:
     """(replicate, mean): Poisson bootstrap, each row weighted in each replicate by a hash of its key."""
     every = rows.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("replicate"))
     w = _poisson(_uniform(F.col(key), F.col("replicate"), F.lit(seed)))
     return every.select("replicate", value, w.alias("w")).groupBy("replicate").agg(F.try_divide(F.sum(F.col(value) * F.col("w")), F.sum("w")).alias("mean"))
 
 
-def bootstrap_p(rows: DataFrame, key: str, diff: str, iters: int = 200, seed: int = 7) -> DataFrame:
+def bootstrap_p(rows: DataFrame, key: str, diff: str, iters: int = 3000, seed: int = 7) -> DataFrame:
     """Share of replicates whose mean difference is 0 or less."""
     return bootstrap(rows, key, diff, iters, seed).agg(F.count("*").alias("iters"), F.avg((F.col("mean") <= 0).cast("double")).alias("p"))
 
 
-def bootstrap_ci(rows: DataFrame, key: str, value: str, iters: int = 200, seed: int = 7) -> DataFrame:
+def bootstrap_ci(rows: DataFrame, key: str, value: str, iters: int = 3000, seed: int = 7) -> DataFrame:
     b = bootstrap(rows, key, value, iters, seed)
     return b.agg(F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY mean)").alias("low"), F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY mean)").alias("high"))
 

@@ -100,9 +100,10 @@ def retrain_trigger(spark: SparkSession, sdf: DataFrame, path: str, checkpoint:
     """Count rows batch by batch in a table; each batch that brings the total over another multiple of n leaves a trigger row."""
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.agg(F.count("*").alias("n")).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/counts")
+        # a batch that is replayed overwrites its own folder
+        batch.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
         total = spark.read.parquet(f"{path}/counts").where(F.col("batch") <= number).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("batch") < number, F.col("n"))).alias("before"))
-        total.where(F.floor(F.col("n") / n) > F.floor(F.coalesce("before", F.lit(0)) / n)).select("n", F.lit(number).alias("batch")).write.mode("append").parquet(f"{path}/triggers")
+        total.where(F.floor(F.col("n") / n) > F.floor(F.coalesce("before", F.lit(0)) / n)).select("n").write.mode("overwrite").parquet(f"{path}/triggers/batch={number}")
 
     return sdf.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -112,9 +113,10 @@ def drain(sdf: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
     spark = sdf.sparkSession
     out = f"{folder}/out"
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def put(batch: DataFrame, number: int) -> None:
+        # a complete result replaces the one before; appended rows get a folder a batch, which a replay overwrites
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
     query = sdf.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(sdf.schema).parquet(out)
+    return spark.read.schema(sdf.schema).parquet(out) if mode == "complete" else spark.read.schema(sdf.schema).option("recursiveFileLookup", "true").parquet(out)
