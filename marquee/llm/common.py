@@ -18,9 +18,11 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (tests, single machine)."""
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset and Spark runs on this machine alone."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="marquee-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

@@ -2,21 +2,24 @@
 
 A template is a license notice: words at relative positions, with a key phrase that must stand whole. The index has
 each template's postings (word, relative position). A first pass counts, over all documents, in how many each license
-word stands. The second looks up each file's words of highest inverse document frequency, one per template, takes
-each as evidence that the template starts where its relative position says, verifies that the key phrase stands there
-word by word, and scores how much of the whole notice does.
+word stands. The second looks up each file's license words of highest inverse document frequency, the RARE rarest of
+each template: where each stands says where the template would start by the word's relative position, and the starts
+that all of them give are intersected. It then verifies that the key phrase stands there word by word, and scores how
+much of the whole notice does.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import text_rows
 
+#: Words of each template whose postings are intersected.
+RARE = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words: ASCII but for letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -81,6 +84,14 @@ def word_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATE
     return {w: counts.get(w, 0) for w in vocabulary}
 
 
+def _is(word: str, hit: Column) -> Column:
+    return hit["w"] == word
+
+
+def _start(at: int, hit: Column) -> Column:
+    return hit["i"] - at
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row of docs.
 
@@ -89,8 +100,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     share of a template's words found in place around a key phrase, 0 without one. Null and empty texts have no words.
     """
     seen = word_frequencies(docs, templates)
-    rare = {t: min(range(len(t.key)), key=lambda i: (seen[t.key[i]], i)) for t in templates}
-    anchors = sorted({t.key[i] for t, i in rare.items()})
+    rare = {t: sorted(range(len(t.key)), key=lambda i: (seen[t.key[i]], i))[:RARE] for t in templates}
+    anchors = sorted({t.key[i] for t, at in rare.items() for i in at})
     longest = max(map(len, anchors))
 
     def hit(word: Column, i: Column) -> Column:
@@ -101,8 +112,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     hits = words.withColumn("hits", F.filter(F.transform("words", hit), lambda h: h.isNotNull()))
 
     def starts(t: Template) -> Column:
-        n, at = len(t.key), rare[t]
-        begun = F.transform(F.filter("hits", lambda h: h["w"] == t.key[at]), lambda h: h["i"] - at)
+        n = len(t.key)
+        begun = reduce(F.array_intersect, (F.transform(F.filter("hits", partial(_is, t.key[at])), partial(_start, at)) for at in rare[t]))
         whole = F.array(*map(F.lit, t.key))
         return F.filter(begun, lambda s: (s >= 0) & (F.transform(F.slice("words", F.greatest(s, F.lit(0)) + 1, n), _lower) == whole))
 
