@@ -12,7 +12,7 @@ from marquee.streaming import events as Z
 def folder(d) -> str:
     base = d.spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not d.spark.sparkContext.master.startswith("local"):
+        if not d.spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="marquee-")
     return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
