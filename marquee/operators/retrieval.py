@@ -59,6 +59,23 @@ def bm25_search(queries: DataFrame, index: Index, k: int = 10, k1: float = 1.2,
     return topk(scored, k)
 
 
+def corpus_search(queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, fields: tuple[str, ...] = ("title", "text"), tokenizer: str = "alnum") -> DataFrame:
+    """bm25_search() without a stored index: only the words that queries ask for leave the scan, so neither the other words nor texts are shuffled."""
+    found = X.tokens(F.concat_ws(" ", *fields), tokenizer)
+    words = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("__empty__")))
+    tokenised = corpus.select("doc_id", words.alias("words"))
+    asked = queries.select("query_id", F.explode(X.tokens(F.col("text"), tokenizer)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    only = asked.select("term").distinct()
+    size = tokenised.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
+    df = tokenised.select(F.explode(F.array_distinct("words")).alias("term")).join(only, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    tf = tokenised.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(only, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    ratio = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    terms = asked.join(df, "term").crossJoin(F.broadcast(size)).select("query_id", "term", "qtf", F.log(1 + ratio).alias("idf"), "avgdl")
+    denominator = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")) + 1e-12
+    scored = terms.join(tf, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / denominator).alias("score"))
+    return topk(scored, k)
+
+
 def dense_search(queries: DataFrame, docs: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
     """Exact best k by inner product of L2-normalised vectors.
 
@@ -174,10 +191,11 @@ def prf_expand(queries: DataFrame, ranked: DataFrame, corpus: DataFrame, docs: i
     return queries.join(top, "query_id", "left").select("query_id", F.concat_ws(" ", "text", added).alias("text"))
 
 
-def search_rewrites(rewrites: DataFrame, index: Index, k: int = 10) -> DataFrame:
-    """Best score of each document over a query's rewrites(query_id, rewrite_no, text), and the rewrite that gave it."""
+def search_rewrites(rewrites: DataFrame, index: Index | DataFrame, k: int = 10) -> DataFrame:
+    """Best score of each document over a query's rewrites(query_id, rewrite_no, text), and the rewrite that gave it. index: a stored one, or the corpus."""
     numbered = rewrites.select(F.struct("query_id", "rewrite_no").alias("query_id"), "text")
-    hits = bm25_search(numbered, index, k).select(F.col("query_id.query_id").alias("q"), F.col("query_id.rewrite_no").alias("r"), "doc_id", "score")
+    search = bm25_search if isinstance(index, Index) else corpus_search
+    hits = search(numbered, index, k).select(F.col("query_id.query_id").alias("q"), F.col("query_id.rewrite_no").alias("r"), "doc_id", "score")
     best = hits.groupBy(F.col("q").alias("query_id"), "doc_id").agg(F.max("score").alias("score"), F.max_by("r", F.struct("score", -F.col("r"))).alias("rewrite_no"))
     return topk(best, k)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import text as X
 from marquee.operators.features import last_n
-from marquee.operators.retrieval import topk
+from marquee.operators.retrieval import corpus_search, dense_search, entity_boost, hybrid_merge, splice, topk
 
 #: The mood of a genre, the moods a query's words ask for, and what a matching mood adds at most.
 GENRE_MOODS = {
@@ -215,3 +215,44 @@ def lookahead_path(poses: DataFrame, horizon: int = 12) -> DataFrame:
         return F.struct((c * dx + s * dy).alias("x"), (c * dy - s * dx).alias("y"))
 
     return here.select("scene", "frame", F.transform(filled, relative).alias("path"))
+
+
+def hash_vectors(rows: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
+    """(key, embedding) of each row's words, counted in `size` places that a hash of the word names; a vector channel that needs no model."""
+    words = X.tokens(F.col(text))
+    place = lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % size
+    spots = F.transform(words, place)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(spots, lambda p: p == i)).cast("double"))
+    return rows.select(key, counts.alias("embedding"))
+
+
+def search(queries: DataFrame, corpus: DataFrame, k: int = 10, candidates: int = 20, alpha: float = 0.5, boosted: DataFrame | None = None, head: int | None = None) -> DataFrame:
+    """The whole search of a table of queries as one plan: BM25 over title and text, hashed vectors over titles, fusion, a boost for boosted(query_id, doc_id), and a new score for the first `head`."""
+    words = corpus_search(queries, corpus, candidates)
+    vectors = dense_search(hash_vectors(queries, "query_id", "text"), hash_vectors(corpus, "doc_id", "title"), candidates)
+    merged = hybrid_merge(words, vectors, alpha)
+    if boosted is not None:
+        merged = entity_boost(merged, boosted)
+    if head:
+        merged = splice(rescore_pairs(merged.where(F.col("rank") <= head), queries, corpus), merged)
+    return merged.where(F.col("rank") <= k)
+
+
+def rescore_pairs(ranked: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Joint score of each pair of query and document: the share of the query's words in the title, and half of that in the text; ranked again."""
+    rows = ranked.select("query_id", "doc_id").join(queries.select("query_id", F.array_distinct(X.tokens(F.col("text"))).alias("q")), "query_id").join(corpus.select("doc_id", X.tokens(F.col("title")).alias("t"), X.tokens(F.col("text")).alias("d")), "doc_id")
+    share = lambda c: F.size(F.array_intersect("q", c)) / F.greatest(F.size("q"), F.lit(1))
+    return topk(rows.select("query_id", "doc_id", (share("t") + 0.5 * share("d")).alias("score")))
+
+
+def feed(profiles: DataFrame, seeds: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
+    """(profile_id, row_no, doc_id, score, rank): one search for each of the profile's seeds(row_no, suffix), asked as one table of queries."""
+    asked = profiles.crossJoin(F.broadcast(seeds)).select(F.struct("profile_id", "row_no").alias("key"), F.concat_ws(" ", "taste", "suffix").alias("text"))
+    numbered = asked.select(F.xxhash64("key.profile_id", "key.row_no").alias("query_id"), "key", "text")
+    hits = search(numbered.select("query_id", "text"), corpus, k)
+    return hits.join(numbered.select("query_id", "key"), "query_id").select("key.profile_id", "key.row_no", "doc_id", "score", "rank")
+
+
+def cold_start_neighbors(new_items: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
+    """Nearest known titles of new_items(query_id, title, genres), by a search for title and genres."""
+    return search(new_items.select("query_id", F.concat_ws(" ", "title", "genres").alias("text")), corpus, k)

@@ -8,7 +8,7 @@ from marquee.operators import retrieval as R
 from marquee.operators import serving as S
 from marquee.plans.fixtures import AS_OF
 from marquee.plans.quality import ndcg, rounded
-from marquee.plans.retrieval import BM25, TITLE, bm25, title, vectors
+from marquee.plans.retrieval import BM25, NORM, TITLE, K, bm25, title, vectors
 
 #: Every user's items with a score.
 UR = "ur AS (SELECT user_id, doc_id, max(ltr_score) AS score FROM watch_events GROUP BY 1, 2)"
@@ -98,7 +98,49 @@ FROM ov LEFT JOIN mean USING (user_id) LEFT JOIN (SELECT user_id, count(*) AS n
 boosted AS (SELECT user_id, doc_id, score AS base, CASE WHEN s IS NULL THEN 0.15::DOUBLE * ov ELSE 0.15::DOUBLE * greatest(s, 0) END AS boost, CASE WHEN s IS NULL THEN 'keyword' ELSE 'embedding' END AS method FROM sim)"""
 
 
+#: Vectors of words hashed to 64 places, and the fused search over them and BM25.
+HASHED = """SELECT {id} AS id, ('0x' || substr(md5(w), 1, 4))::INT % 64 AS place, count(*)::DOUBLE AS x FROM (SELECT {id}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS w FROM {table}) GROUP BY 1, 2"""
+CHANNEL = f"""qv AS ({HASHED.format(id='query_id', text='text', table='search_queries')}), tv AS ({HASHED.format(id='doc_id', text='title', table='corpus')}),
+dt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT qv.id AS query_id, tv.id AS doc_id, sum(qv.x * tv.x) / any_value(qn) / any_value(tn) AS score
+FROM qv JOIN tv USING (place) JOIN (SELECT id, sqrt(sum(x * x)) AS qn FROM qv GROUP BY 1) a ON a.id = qv.id JOIN (SELECT id, sqrt(sum(x * x)) AS tn FROM tv GROUP BY 1) b ON b.id = tv.id GROUP BY 1, 2) QUALIFY rank <= {K})"""
+FUSED = f"""se AS (SELECT query_id, doc_id, sum(s) AS score FROM (
+SELECT query_id, doc_id, 0.5 * ({NORM}) AS s FROM bm WINDOW q AS (PARTITION BY query_id) UNION ALL SELECT query_id, doc_id, 0.5 * ({NORM}) FROM dt WINDOW q AS (PARTITION BY query_id)) GROUP BY 1, 2)"""
+SEEDS = "SELECT query_id * 2 AS query_id, text FROM search_queries UNION ALL SELECT query_id * 2 + 1, text || ' the of' FROM search_queries"
+FIRST = "SELECT query_id, count(*) AS n, round(max(score), 6) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM se) WHERE r <= {} GROUP BY 1"
+
+
+def seeds(d):
+    return d.spark.createDataFrame([(0, ""), (1, "the of")], "row_no int, suffix string")
+
+
+def top(df):
+    return df.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
+
+
 QUERIES = {
+    "r15_search": (
+        lambda d: S.search(d.search_queries, d.corpus).select("query_id", "doc_id", F.round("score", 6).alias("score")),
+        f"WITH {BM25[1:]}, {CHANNEL}, {FUSED} SELECT query_id, doc_id, round(score, 6) AS score FROM se QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 10",
+    ),
+    "r15_search_boosted": (lambda d: top(S.search(d.search_queries, d.corpus, boosted=title(d).where("rank <= 5"))), f"WITH {BM25[1:]}{TITLE}, {CHANNEL}, {FUSED.replace('se AS', 'sf AS')}, se AS (SELECT query_id, doc_id, score * CASE WHEN (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM ti WHERE rank <= 5) THEN 1.15::DOUBLE ELSE 1 END AS score FROM sf) {FIRST.format(10)}"),
+    "r14_rescore_pairs": (
+        lambda d: S.rescore_pairs(title(d), d.search_queries, d.corpus).select("query_id", "doc_id", F.round("score", 6).alias("score")),
+        f"""WITH {CAND} SELECT query_id, doc_id, round((len(list_intersect(q, {WORDS.format('title')})) + 0.5::DOUBLE * len(list_intersect(q, {WORDS.format('body')}))) / greatest(len(q), 1), 6) AS score
+        FROM (SELECT query_id, doc_id, {WORDS.format('q.text')} AS q, title, c.text AS body FROM ti JOIN search_queries q USING (query_id) JOIN corpus c USING (doc_id))""",
+    ),
+    "r16_feed": (
+        lambda d: S.feed(d.search_queries.select(F.col("query_id").alias("profile_id"), F.col("text").alias("taste")), seeds(d), d.corpus).groupBy("profile_id", "row_no").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best")),
+        f"""WITH sd AS ({SEEDS}), {BM25[1:].replace('search_queries', 'sd')}, {CHANNEL.replace('search_queries', 'sd')}, {FUSED}, f AS ({FIRST.format(5)}) SELECT query_id // 2 AS profile_id, CAST(query_id % 2 AS INT) AS row_no, n, best FROM f""",
+    ),
+    "r17_cold_start_neighbors": (
+        lambda d: top(S.cold_start_neighbors(d.search_queries.select("query_id", F.col("text").alias("title"), F.lit("the").alias("genres")), d.corpus)),
+        f"WITH sd AS (SELECT query_id, text || ' the' AS text FROM search_queries), {BM25[1:].replace('search_queries', 'sd')}, {CHANNEL.replace('search_queries', 'sd')}, {FUSED} {FIRST.format(5)}",
+    ),
+    "r25_three_way": (
+        lambda d: R.fuse({"text": bm25(d), "title": title(d), "dense": R.dense_search(S.hash_vectors(d.search_queries, "query_id", "text"), S.hash_vectors(d.corpus, "doc_id", "title"), K)}, {"text": 0.5, "title": 0.2, "dense": 0.3}).select("query_id", "doc_id", F.round("score", 6).alias("score")),
+        f"""WITH {BM25[1:]}{TITLE}, {CHANNEL} SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (SELECT query_id, doc_id, 0.5::DOUBLE * ({NORM}) AS s FROM bm WINDOW q AS (PARTITION BY query_id)
+        UNION ALL SELECT query_id, doc_id, 0.2::DOUBLE * ({NORM}) FROM ti WINDOW q AS (PARTITION BY query_id) UNION ALL SELECT query_id, doc_id, 0.3::DOUBLE * ({NORM}) FROM dt WINDOW q AS (PARTITION BY query_id)) GROUP BY 1, 2""",
+    ),
     "h01_keyword_boost": (
         lambda d: S.keyword_boost(ur(d), keywords(d), item_texts(d)).select("user_id", "doc_id", F.round("overlap", 6).alias("overlap"), F.round("score", 6).alias("score")),
         f"WITH {UR}, {KW}, {SIM} SELECT user_id, doc_id, round(ov, 6) AS overlap, round(score + 0.15::DOUBLE * ov, 6) AS score FROM ov",
@@ -200,7 +242,7 @@ QUERIES = {
         round(avg(CASE WHEN len(q) > 0 THEN len(list_intersect(q, s)) / len(q)::DOUBLE ELSE 0 END), 6) AS context_recall FROM t GROUP BY 1 HAVING count(*) >= 5""",
     ),
     "r27_search_rewrites": (
-        lambda d: R.search_rewrites(rewrites(d), R.build_index(d.corpus), 20).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best")),
+        lambda d: R.search_rewrites(rewrites(d), d.corpus, 20).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best")),
         f"""WITH {REWRITTEN}, {BM25[1:].replace('search_queries', 'rw')}, x AS (SELECT query_id // 10 AS query_id, doc_id, max(score) AS score FROM bm GROUP BY 1, 2), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM x)
         SELECT query_id, count(*) AS n, round(max(score), 6) AS best FROM y WHERE r <= 20 GROUP BY 1""",
     ),
