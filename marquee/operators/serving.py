@@ -256,3 +256,113 @@ def feed(profiles: DataFrame, seeds: DataFrame, corpus: DataFrame, k: int = 5) -
 def cold_start_neighbors(new_items: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """Nearest known titles of new_items(query_id, title, genres), by a search for title and genres."""
     return search(new_items.select("query_id", F.concat_ws(" ", "title", "genres").alias("text")), corpus, k)
+
+
+#: The share of each format on a surface, and how much an intent favours a format.
+SURFACE_MIX = {
+    "home": {"film": 0.5, "series": 0.35, "live_event": 0.1, "podcast": 0.05}, "new_popular": {"film": 0.4, "series": 0.4, "live_event": 0.15, "podcast": 0.05},
+    "live": {"live_event": 0.8, "film": 0.2}, "games": {"game": 0.9, "film": 0.1},
+}
+INTENT_FORMATS = {
+    "background_noise": {"series": 1.3, "podcast": 1.2}, "dedicated_viewing": {"film": 1.4, "series": 1.1}, "social_watching": {"live_event": 1.8, "film": 1.2}, "discovery_mode": {"podcast": 1.3, "game": 1.2},
+}
+BUSINESS_WORDS = ("original", "exclusive", "award")
+
+
+def _of_pair(table: dict[str, dict[str, float]], first: Column, second: Column, other: Column) -> Column:
+    """table[first][second], else `other`."""
+    flat = {f"{a}|{b}": v for a, row in table.items() for b, v in row.items()}
+    known = F.create_map(*[F.lit(x) for kv in flat.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, F.concat_ws("|", first, second)), other)
+
+
+def cross_format(ranked: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """Scores of ranked(query_id, doc_id, score, content_type, surface, intent) raised by the surface's mix and the intent's formats; unknown surfaces count as home, unknown formats as film."""
+    formats = ("film", "series", "live_event", "podcast", "game")
+    kind = F.when(F.col("content_type").isin(*formats), F.col("content_type")).otherwise("film")
+    surface = F.when(F.col("surface").isin(*SURFACE_MIX), F.col("surface")).otherwise("home")
+    by_intent = F.when(F.coalesce(F.col("intent"), F.lit("")) == "", 1.0).otherwise(_of_pair(INTENT_FORMATS, F.col("intent"), kind, F.lit(1.0)))
+    boost = _of_pair(SURFACE_MIX, surface, kind, F.lit(0.1)) * alpha + by_intent * alpha * 0.5
+    return topk(ranked.select("query_id", "doc_id", boost.alias("format_boost"), (F.col("score") * (1 + boost)).alias("score")))
+
+
+def multi_objective(ranked: DataFrame, diverse: DataFrame, corpus: DataFrame, k: int | None = None, weights: tuple[float, float, float] = (0.6, 0.25, 0.15), words: tuple[str, ...] = BUSINESS_WORDS) -> DataFrame:
+    """Min-max relevance, place in a diverse ranking (rank from 1; 0 beyond it) and whether a business word stands in title or text, weighted and ranked."""
+    w = Window.partitionBy("query_id")
+    low, n = F.min("score").over(w), F.count("*").over(w)
+    span = F.greatest(F.max("score").over(w) - low, F.lit(1e-9))
+    scaled = ranked.select("query_id", "doc_id", ((F.col("score") - low) / span).alias("rel"), n.alias("n"))
+    both = scaled.join(diverse.select("query_id", "doc_id", F.col("rank").alias("place")), ["query_id", "doc_id"], "left").join(corpus.select("doc_id", F.lower(F.concat_ws(" ", "text", "title")).alias("hay")), "doc_id", "left")
+    div = F.coalesce(1 - (F.col("place") - 1) / F.greatest("n", F.lit(1)), F.lit(0.0))
+    business = F.coalesce(F.col("hay").rlike("|".join(words)).cast("double"), F.lit(0.0))
+    a, b, c = (x / sum(weights) for x in weights)
+    return topk(both.select("query_id", "doc_id", (a * F.col("rel") + b * div + c * business).alias("score")), k)
+
+
+def session_summary(log: DataFrame) -> DataFrame:
+    """Minutes, queries, pivot (three neighbouring intents that all differ) and the last five intents of each session of log(session_id, ts, event_id, intent)."""
+    w = Window.partitionBy("session_id").orderBy("ts", "event_id")
+    a, b, c = F.col("intent"), F.lag("intent", 1).over(w), F.lag("intent", 2).over(w)
+    back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    rows = log.select("session_id", "ts", "event_id", "intent", ((a != b) & (b != c) & (a != c)).alias("turn"), back.alias("back"))
+    last = F.array_sort(F.collect_list(F.when(F.col("back") <= 5, F.struct((-F.col("back")).alias("at"), "intent"))))
+    minutes = F.round((F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 60e6, 1)
+    return rows.groupBy("session_id").agg(minutes.alias("duration_min"), F.count("*").alias("n_queries"), F.coalesce(F.max("turn"), F.lit(False)).alias("pivot_detected"), F.array_join(F.transform(last, lambda x: x["intent"]), ",").alias("intents"))
+
+
+def merge_household(feeds: DataFrame, slots: int = 20, balance: dict[str, float] | None = None) -> DataFrame:
+    """(household_id, position, profile, doc_id, score): profiles of feeds(household_id, profile, doc_id, score, rank) take turns in the order of their names, each with its share of the slots, no document twice.
+
+    A profile's head of slots * (its household's profiles) documents is enough for that, so a task never holds more of a household.
+    """
+    import pandas as pd
+
+    shares = balance or {}
+    sizes = feeds.groupBy("household_id").agg(F.count_distinct("profile").alias("n"))
+    head = feeds.join(sizes, "household_id").where(F.col("rank") <= slots * F.col("n")).drop("n")
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["profile", "rank", "doc_id"])
+        lists = {p: iter(g[["doc_id", "score"]].itertuples(index=False)) for p, g in rows.groupby("profile", sort=True)}
+        weight = {p: shares.get(p, 0.0) if shares else 1.0 for p in lists}
+        total = sum(weight.values()) or 1.0
+        left = {p: max(1, round(w / total * slots)) for p, w in weight.items()}
+        used: set = set()
+        out: list[tuple] = []
+        moved = True
+        while moved and len(out) < slots:
+            moved = False
+            for p, rest in lists.items():
+                hit = next((r for r in rest if r.doc_id not in used), None) if left[p] > 0 else None
+                if hit is not None:
+                    used.add(hit.doc_id)
+                    left[p] -= 1
+                    out.append((rows["household_id"].iloc[0], len(out) + 1, p, hit.doc_id, hit.score))
+                    moved = True
+        return pd.DataFrame(out[:slots], columns=["household_id", "position", "profile", "doc_id", "score"])
+
+    kinds = dict(feeds.dtypes)
+    return head.groupBy("household_id").applyInPandas(one, f"household_id {kinds['household_id']}, position int, profile {kinds['profile']}, doc_id {kinds['doc_id']}, score double")
+
+
+def evaluate_all(datasets: dict[str, tuple[DataFrame, DataFrame]], k: int = 10) -> DataFrame:
+    """(dataset, n_queries, mean_ndcg) of a ranking and its judgements for each data set, in one plan."""
+    from marquee.operators import evaluate as M
+
+    parts = [M.macro_average(M.ndcg(ranked, qrels, k), "ndcg").withColumn("dataset", F.lit(name)) for name, (ranked, qrels) in datasets.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def promote_by_quality(runs: DataFrame, least: float = 0.3) -> DataFrame:
+    """Runs with `promoted`: their nDCG reaches the gate; none without a value."""
+    return runs.withColumn("promoted", F.coalesce(F.col("ndcg_at_10") >= least, F.lit(False)))
+
+
+def graph_search(queries: DataFrame, corpus: DataFrame, edges: DataFrame, k: int = 20, seeds: int = 5) -> DataFrame:
+    """Documents that the graph reaches from the first hits of a search."""
+    from marquee.operators.graphs import expand
+
+    return expand(search(queries, corpus, seeds).select("query_id", "doc_id"), edges, k=k)

@@ -117,7 +117,53 @@ def top(df):
     return df.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
 
 
+def formatted(d):
+    """Every user's items with a format, a surface and an intent."""
+    return as_queries(d).join(d.content_metadata.select("doc_id", F.when(F.col("content_type") == "live", "live_event").otherwise(F.col("content_type")).alias("content_type")), "doc_id").withColumns(
+        {"surface": F.expr("CASE query_id % 4 WHEN 0 THEN 'home' WHEN 1 THEN 'live' WHEN 2 THEN 'games' ELSE 'elsewhere' END"), "intent": F.expr("CASE query_id % 3 WHEN 0 THEN 'social_watching' WHEN 1 THEN 'background_noise' ELSE '' END")}
+    )
+
+
+def _case(table: dict[str, dict[str, float]], first: str, other: str) -> str:
+    return "CASE " + " ".join(f"WHEN {first} = '{a}' AND kind = '{b}' THEN {v}::DOUBLE" for a, row in table.items() for b, v in row.items()) + f" ELSE {other} END"
+
+
+def vec_texts(d):
+    return d.embeddings.selectExpr("vec_id AS doc_id", "CASE WHEN label % 3 = 0 THEN 'An Original story' ELSE 'story' END AS title", "'' AS text")
+
+
+def feeds(d):
+    rows = ur(d).selectExpr("user_id % 50 AS household_id", "concat('p', user_id % 3) AS profile", "doc_id", "score").groupBy("household_id", "profile", "doc_id").agg(F.max("score").alias("score"))
+    return R.topk(rows.withColumn("query_id", F.struct("household_id", "profile"))).drop("query_id")
+
+
 QUERIES = {
+    "x03_multi_objective": (
+        lambda d: S.multi_objective(d.ranked_a, d.ranked_b, vec_texts(d)).select("query_id", "doc_id", F.round("score", 6).alias("score")),
+        """SELECT query_id, doc_id, round(0.6::DOUBLE * (a.score - min(a.score) OVER q) / greatest(max(a.score) OVER q - min(a.score) OVER q, 1e-9) + 0.25::DOUBLE * coalesce(1 - (b.rank - 1) / greatest(count(*) OVER q, 1)::DOUBLE, 0) + 0.15::DOUBLE * (label % 3 = 0)::INT, 6) AS score
+        FROM ranked_a a LEFT JOIN (SELECT query_id, doc_id, rank FROM ranked_b) b USING (query_id, doc_id) JOIN embeddings ON vec_id = doc_id WINDOW q AS (PARTITION BY query_id)""",
+    ),
+    "x06_merge_household": (lambda d: S.merge_household(feeds(d), 9), None),
+    "x11_cross_format": (
+        lambda d: S.cross_format(formatted(d)).select("query_id", "doc_id", F.round("format_boost", 6).alias("format_boost"), F.round("score", 6).alias("score")),
+        f"""WITH {UR}, x AS (SELECT user_id AS query_id, doc_id, score, CASE content_type WHEN 'live' THEN 'live_event' ELSE content_type END AS kind, CASE user_id % 4 WHEN 1 THEN 'live' WHEN 2 THEN 'games' ELSE 'home' END AS surface,
+        CASE user_id % 3 WHEN 0 THEN 'social_watching' WHEN 1 THEN 'background_noise' ELSE '' END AS intent FROM ur JOIN content_metadata USING (doc_id)), y AS (SELECT *, {_case(S.SURFACE_MIX, 'surface', '0.1::DOUBLE')} * 0.1::DOUBLE + {_case(S.INTENT_FORMATS, 'intent', '1')} * 0.1::DOUBLE * 0.5::DOUBLE AS b FROM x)
+        SELECT query_id, doc_id, round(b, 6) AS format_boost, round(score * (1 + b), 6) AS score FROM y""",
+    ),
+    "h06_session_summary": (
+        lambda d: S.session_summary(d.events.selectExpr("concat(user_id, '_', date(ts)) AS session_id", "ts", "event_id", "event_type AS intent")),
+        """WITH e AS (SELECT user_id || '_' || CAST(ts AS DATE) AS session_id, ts, event_id, event_type AS i FROM events), t AS (SELECT *, lag(i, 1) OVER w AS j, lag(i, 2) OVER w AS k, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS back FROM e WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id))
+        SELECT session_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6, 1) AS duration_min, count(*) AS n_queries, coalesce(bool_or(i <> j AND j <> k AND i <> k), false) AS pivot_detected, string_agg(i, ',' ORDER BY back DESC) FILTER (back <= 5) AS intents FROM t GROUP BY 1""",
+    ),
+    "m16_evaluate_all": (
+        lambda d: rounded(S.evaluate_all({"a": (d.ranked_a, d.graded_qrels), "b": (d.ranked_b, d.graded_qrels)}), "mean_ndcg"),
+        f"SELECT 'a' AS dataset, count(*) AS n_queries, round(avg(ndcg), 6) AS mean_ndcg FROM ({ndcg('ranked_a')}) UNION ALL SELECT 'b', count(*), round(avg(ndcg), 6) FROM ({ndcg("ranked_b")})",
+    ),
+    "v15_promote_by_quality": (lambda d: S.promote_by_quality(d.model_artifacts).select("artifact_id", "promoted"), "SELECT artifact_id, coalesce(ndcg_at_10 >= 0.3::DOUBLE, false) AS promoted FROM model_artifacts"),
+    "g07_graph_search": (
+        lambda d: S.graph_search(d.recommendations.groupBy(F.col("query").alias("text")).agg(F.min("rec_id").alias("query_id")), item_texts(d), graph_edges(d)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "hops"),
+        None,
+    ),
     "r15_search": (
         lambda d: S.search(d.search_queries, d.corpus).select("query_id", "doc_id", F.round("score", 6).alias("score")),
         f"WITH {BM25[1:]}, {CHANNEL}, {FUSED} SELECT query_id, doc_id, round(score, 6) AS score FROM se QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 10",
@@ -272,6 +318,13 @@ QUERIES = {
 }
 
 
+def graph_edges(d):
+    from marquee.operators.graphs import genre_edges
+    from marquee.plans.graphs import items
+
+    return genre_edges(items(d))
+
+
 def quality_turns(d):
     from marquee.plans.quality import turns
 
