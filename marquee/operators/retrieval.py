@@ -76,33 +76,41 @@ def corpus_search(queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float
     return topk(scored, k)
 
 
+def _vector_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """(ids, data): up to `size` rows at a time with their L2-normalised vectors as one matrix, as bytes; no shuffle."""
+    import numpy as np
+    import pandas as pd
+
+    def cut(batches):
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                part = batch.iloc[at : at + size]
+                matrix = np.vstack(part["embedding"].to_numpy()).astype(np.float64)
+                matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+                yield pd.DataFrame({"ids": [part[key].to_numpy(np.int64).tobytes()], "data": [matrix.tobytes()]})
+
+    return rows.where("embedding is not null").select(key, "embedding").mapInPandas(cut, "ids binary, data binary")
+
+
 def dense_search(queries: DataFrame, docs: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
     """Exact best k by inner product of L2-normalised vectors.
 
-    queries(query_id, embedding) is a stated query set that goes to every task; each block of documents is multiplied
-    at once and leaves at most k rows a query.
+    Every block of the query set queries(query_id, embedding) meets every block of documents(doc_id, embedding) in one
+    matrix product, which leaves at most k rows a query; neither side passes through the driver.
     """
     import numpy as np
     import pandas as pd
 
-    asked = queries.select("query_id", "embedding").collect()
-    ids = np.array([r["query_id"] for r in asked], dtype=np.int64)
-    matrix = np.array([r["embedding"] for r in asked], dtype=np.float64)
-    if len(ids):
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-
     def search(batches):
         for batch in batches:
-            for at in range(0, len(batch), block):
-                part = batch.iloc[at : at + block]
-                vectors = np.vstack(part["embedding"].to_numpy()).astype(np.float64)
-                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-                scores = vectors @ matrix.T
-                docs_of = part["doc_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(docs_of[:, None], scores.shape), -scores), axis=0)[:k]
-                yield pd.DataFrame({"query_id": np.broadcast_to(ids, order.shape).ravel(), "doc_id": docs_of[order].ravel(), "score": np.take_along_axis(scores, order, 0).ravel()})
-
-    found = docs.select("doc_id", "embedding").mapInPandas(search, "query_id long, doc_id long, score double")
+            for ids, data, asked, wanted in zip(batch["ids"], batch["data"], batch["asked"], batch["wanted"]):
+                docs_of, queries_of = np.frombuffer(ids, np.int64), np.frombuffer(asked, np.int64)
+                scores = np.frombuffer(data).reshape(len(docs_of), -1) @ np.frombuffer(wanted).reshape(len(queries_of), -1).T
+                order = np.lexsort((np.broadcast_to(docs_of[:, None], scores.shape), -np.round(scores, 9)), axis=0)[:k]
+                yield pd.DataFrame({"query_id": np.broadcast_to(queries_of, order.shape).ravel(), "doc_id": docs_of[order].ravel(), "score": np.take_along_axis(scores, order, 0).ravel()})
+
+    asked = _vector_blocks(queries, "query_id", 256).select(F.col("ids").alias("asked"), F.col("data").alias("wanted"))
+    found = _vector_blocks(docs, "doc_id", block).crossJoin(asked).mapInPandas(search, "query_id long, doc_id long, score double")
     return topk(found, k)
 
 
