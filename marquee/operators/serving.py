@@ -57,7 +57,7 @@ def embedding_boost(ranked: DataFrame, history: DataFrame, vectors: DataFrame, o
 def explain_boost(scored: DataFrame) -> DataFrame:
     """Base, boost, personalised score and lift in percent of embedding_boost()'s rows."""
     lift = 100 * F.col("boost") / F.greatest(F.abs("base"), F.lit(1e-9))
-    return scored.select("user_id", "doc_id", "method", F.round("base", 4).alias("base"), F.round("boost", 4).alias("boost"), F.round("score", 4).alias("personalized"), F.round(lift, 2).alias("lift_pct"))
+    return scored.select("user_id", "doc_id", "method", "base", "boost", F.col("score").alias("personalized"), lift.alias("lift_pct"))
 
 
 def mood_tags(items: DataFrame, moods: dict[str, str] | None = None) -> DataFrame:

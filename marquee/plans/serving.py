@@ -197,7 +197,7 @@ QUERIES = {
     ),
     "h03_explain_boost": (
         lambda d: S.explain_boost(boosted(d)).groupBy("user_id", "method").agg(F.count("*").alias("n"), F.round(F.avg("lift_pct"), 3).alias("lift_pct")),
-        f"WITH {UR}, {KW}, {SIM} SELECT user_id, method, count(*) AS n, round(avg(round(100 * boost / greatest(abs(base), 1e-9), 2)), 3) AS lift_pct FROM boosted GROUP BY 1, 2",
+        f"WITH {UR}, {KW}, {SIM} SELECT user_id, method, count(*) AS n, round(avg(100 * boost / greatest(abs(base), 1e-9)), 3) AS lift_pct FROM boosted GROUP BY 1, 2",
     ),
     "r20_mood_tags": (
         lambda d: tagged(d).select("doc_id", F.array_join(F.array_sort("mood_tags"), ",").alias("moods"), F.col("style_tags")[0].alias("style")),
