@@ -73,6 +73,13 @@ class ByteBPE:
         get, make = self.table.get, self._word
         return b"".join([get(w) or make(w) for w in self.plain.findall(text)])
 
+    def encode_plain(self, text: str) -> bytes:
+        """encode(), the names of special tokens being ordinary text."""
+        if self.odd.search(text):
+            return np.asarray(self.coder.encode_ordinary(text), "<u4").tobytes()
+        get, make = self.table.get, self._word
+        return b"".join([get(w) or make(w) for w in self.plain.findall(text)])
+
 
 @lru_cache(2)
 def byte_bpe(path: str) -> ByteBPE:

@@ -81,6 +81,14 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from marquee.llm.align import alignments
+
+    return alignments(_table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -101,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
     "op11_runs": op11_runs,
+    "op12_alignment": op12_alignment,
     "op13_token_files": op13_token_files,
 }
 
