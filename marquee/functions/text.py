@@ -45,6 +45,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def unit(a: Column) -> Column:
+    """The vector at length 1; one of zeros stays as it is."""
+    length = norm(a)
+    return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length)).otherwise(F.transform(a, lambda x: x.cast("double")))
+
+
 def decay(age_days: Column, half_life: float) -> Column:
     return F.pow(F.lit(0.5), age_days / F.lit(half_life))
 
