@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,9 @@ from marquee.llm.common import map_arrow, materialise, text_rows
 from marquee.llm.packing import byte_bpe
 
 #: Windows that a task keeps at a time, and the ids up to which a window is kept.
-TABLE, KEPT_IDS = 400_000, 32
+TABLE, KEPT_IDS = 200_000, 32
+#: Bytes of text, about, whose rows leave a task together.
+ROWS_OF = 2 << 20
 
 
 class Aligner:
@@ -54,6 +57,7 @@ class Aligner:
             self.bytes_b.append(b"" if self.b.is_control(i) or self.b.is_unknown(i) else raw)
         self.size_a, self.size_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in v]) for v in (self.bytes_a, self.bytes_b))
+        self.lengths_a, self.lengths_b = self.size_a.tolist(), self.size_b.tolist()
         self.pairs = self._possible()
         self.table: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
 
@@ -77,34 +81,42 @@ class Aligner:
                     found.update(a * many + b for b in ids)
         return np.array(sorted(found), np.int64)
 
-    def numbers(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The numbers of the pairs."""
-        return np.searchsorted(self.pairs, a.astype(np.int64) * len(self.bytes_b) + b).astype("<i4")
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of pairs given as a * (size of B) + b."""
+        return np.searchsorted(self.pairs, keys).astype(np.int32)
 
     def b_of(self) -> np.ndarray:
         """The B id of each numbered pair."""
         return self.pairs % len(self.bytes_b)
 
-    def window(self, a: np.ndarray, b: np.ndarray) -> tuple[str, bytes]:
-        """(groups as text, numbers of the linked pairs) of ids that cover the same bytes."""
-        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        _, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        groups, i, j = [], 0, 0
-        names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        for x, y in zip(last_a.tolist(), last_b.tolist()):
-            groups.append(",".join(names_a[i : x + 1]) + "|" + ",".join(names_b[j : y + 1]))
-            i, j = x + 1, y + 1
-        return ";".join(groups), self.numbers(a[last_a], b[last_b]).tobytes()
+    def window(self, a: list[int], b: list[int]) -> tuple[str, bytes]:
+        """(groups as text, keys of the linked pairs) of ids that cover the same bytes: whichever side is behind moves on, and a group ends where both meet."""
+        size_a, size_b, many = self.lengths_a, self.lengths_b, len(self.bytes_b)
+        groups, links = [], array("q")
+        i = j = begin_a = begin_b = end_a = end_b = 0
+        while i < len(a) or j < len(b):
+            if end_a <= end_b:
+                end_a += size_a[a[i]]
+                i += 1
+            else:
+                end_b += size_b[b[j]]
+                j += 1
+            if end_a == end_b:
+                groups.append(",".join(map(str, a[begin_a:i])) + "|" + ",".join(map(str, b[begin_b:j])))
+                links.append(a[i - 1] * many + b[j - 1])
+                begin_a, begin_b = i, j
+        return ";".join(groups), links.tobytes()
 
     def align(self, text: str, a: np.ndarray, b: np.ndarray) -> tuple[str, bytes] | None:
         """window() of a whole text, put together from its windows between anchors; None where a vocabulary's bytes aren't " " + text."""
         whole = b" " + text.encode()
-        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != whole or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != whole:
+        ids_a, ids_b = a.tolist(), b.tolist()
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != whole or b"".join(map(self.bytes_b.__getitem__, ids_b)) != whole:
             return None
         starts = [np.cumsum(size[ids]) - size[ids] for size, ids in ((self.size_a, a), (self.size_b, b))]
         marked_a, marked_b = np.flatnonzero(self.space_a[a]), np.flatnonzero(self.space_b[b])
         _, at_a, at_b = np.intersect1d(starts[0][marked_a], starts[1][marked_b], assume_unique=True, return_indices=True)
-        cuts_a, cuts_b = [*marked_a[at_a].tolist(), len(a)], [*marked_b[at_b].tolist(), len(b)]
+        cuts_a, cuts_b = [*marked_a[at_a].tolist(), len(ids_a)], [*marked_b[at_b].tolist(), len(ids_b)]
         raw_a, raw_b = a.tobytes(), b.tobytes()
         groups, links = [], []
         i = j = 0
@@ -115,7 +127,7 @@ class Aligner:
             key = (raw_a[4 * i : 4 * x], raw_b[4 * j : 4 * y])
             made = table.get(key)
             if made is None:
-                made = self.window(a[i:x], b[j:y])
+                made = self.window(ids_a[i:x], ids_b[j:y])
                 if x - i + y - j <= KEPT_IDS:
                     if len(table) >= TABLE:
                         table.clear()
@@ -125,17 +137,15 @@ class Aligner:
             i, j = x, y
         return ";".join(groups), b"".join(links)
 
-    def rows(self, texts: list[str]) -> Iterator[tuple[int, int, str, bytes]]:
-        """(ids of A, ids of B, groups as text, numbers of the linked pairs) of each text; nothing where there are no tokens."""
-        for text in texts:
-            if text:
-                a = np.frombuffer(self.a.encode_plain(" " + text), "<u4")
-                b = np.array(self.b.encode(text), "<u4")
-                made = self.align(text, a, b)
-                if made:
-                    yield len(a), len(b), *made
-                    continue
-            yield 0, 0, "", b""
+    def row(self, text: str) -> tuple[int, int, str, bytes]:
+        """(ids of A, ids of B, groups as text, keys of the linked pairs) of a text; nothing where there are no tokens."""
+        if text:
+            a = np.frombuffer(self.a.encode_plain(" " + text), "<u4")
+            b = np.array(self.b.encode(text), "<u4")
+            made = self.align(text, a, b)
+            if made:
+                return len(a), len(b), *made
+        return 0, 0, "", b""
 
 
 @lru_cache(1)
@@ -143,24 +153,39 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(doc_id, n_a, n_b, groups string, groups_sha256, links array<int>) of every text, one row for each row of docs.
+FIELDS = "doc_id bigint, n_a bigint, n_b bigint, groups_sha256 string, links array<int>"
 
-    groups lists ids as `a1,a2|b1;a3|b2,b3`; links numbers the linked pairs of ids in order. Null and empty texts, and
-    those that a vocabulary's tokens don't give back byte for byte, have no tokens.
+
+def groups(docs: DataFrame, path_a: str, path_b: str, written: bool = True) -> DataFrame:
+    """(doc_id, n_a, n_b, groups_sha256, links array<int>, groups string) of every text, one row for each row of docs.
+
+    groups lists ids as `a1,a2|b1;a3|b2,b3`, left out unless `written`; links numbers the linked pairs of ids in order.
+    Null and empty texts, and those that a vocabulary's tokens don't give back byte for byte, have no tokens.
     """
 
+    def table(work: Aligner, ids: list, rows: list[tuple]) -> pa.RecordBatch:
+        n_a, n_b, texts, digests, links = zip(*rows)
+        ends = pa.array(np.cumsum([0, *(len(x) // 8 for x in links)]).astype(np.int32))
+        listed = pa.ListArray.from_arrays(ends, pa.array(work.numbers(np.frombuffer(b"".join(links), "<i8"))))
+        columns = {"doc_id": pa.array(ids, pa.int64()), "n_a": pa.array(n_a, pa.int64()), "n_b": pa.array(n_b, pa.int64()), "groups_sha256": pa.array(digests, pa.string()), "links": listed}
+        return pa.RecordBatch.from_pydict(columns | ({"groups": pa.array(texts, pa.string())} if written else {}))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = aligner(path_a, path_b)
         for batch in batches:
-            n_a, n_b, written, links = zip(*work.rows(batch.column("text").to_pylist())) if batch.num_rows else ((),) * 4
-            ends = np.cumsum([0, *(len(x) // 4 for x in links)]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(links), "<i4")))
-            digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in written]
-            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(written, pa.string()), pa.array(digests, pa.string()), listed]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_a", "n_b", "groups", "groups_sha256", "links"])
+            ids, rows, held = [], [], 0
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                n_a, n_b, made, links = work.row(text.as_py())
+                rows.append((n_a, n_b, made if written else None, hashlib.sha256(made.encode()).hexdigest() if made else "", links))
+                ids.append(doc)
+                held += len(links)
+                if held >= ROWS_OF:
+                    yield table(work, ids, rows)
+                    ids, rows, held = [], [], 0
+            if rows:
+                yield table(work, ids, rows)
 
-    return map_arrow(text_rows(docs), run, "doc_id bigint, n_a bigint, n_b bigint, groups string, groups_sha256 string, links array<int>")
+    return map_arrow(text_rows(docs), run, FIELDS + (", groups string" if written else ""))
 
 
 def pair_counts(linked: DataFrame) -> DataFrame:
@@ -175,7 +200,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     highest count of its B id, ties included.
     """
     spark = docs.sparkSession
-    linked = materialise(groups(docs, path_a, path_b).drop("groups"))
+    linked = materialise(groups(docs, path_a, path_b, written=False))
     work = aligner(path_a, path_b)
     count = np.zeros(len(work.pairs), np.int64)
     # at most one row for each numbered pair, whatever the corpus
