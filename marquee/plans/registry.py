@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marquee.plans.fixtures import Data, with_views
 
-FAMILIES = ("behaviour", "warehouse", "relational", "retrieval", "querylog", "ranking", "people", "quality", "causal", "graphs", "health", "streams", "serving", "vectors")
+FAMILIES = ("behaviour", "warehouse", "relational", "retrieval", "querylog", "ranking", "people", "quality", "causal", "graphs", "health", "streams", "serving", "vectors", "content")
 
 
 def families() -> dict[str, tuple[Callable[[Data], DataFrame], str | None]]:
