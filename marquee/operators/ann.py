@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import text as X
 from marquee.operators.retrieval import topk
-from marquee.sources.working import written
+from marquee.sources.working import importable, written
 
 #: Vectors a list that centroids are fitted on, vectors that codebooks are fitted on, and rounds of both fits.
 SAMPLE, CODE_ROWS, ROUNDS = 256, 65_536, 15
@@ -105,6 +105,7 @@ def fit_codebooks(vectors: DataFrame, centroids: np.ndarray, codes: int = CODES,
 
 def build_ivf(vectors: DataFrame, n_lists: int | None = None, codes: int = CODES, seed: int = 7) -> VectorIndex:
     """Index of vectors(doc_id, embedding); rows without a vector are left out. n_lists: by default the root of their number, a power of two."""
+    importable(vectors.sparkSession)
     known = vectors.where("embedding is not null").select("doc_id", "embedding")
     head = known.first()
     if head is None:
@@ -156,6 +157,7 @@ def probes(queries: DataFrame, index: VectorIndex, nprobe: int) -> DataFrame:
 
 def coarse_search(queries: DataFrame, index: VectorIndex, n: int, nprobe: int) -> DataFrame:
     """(query_id, doc_id, score, rank): the n documents of highest approximate score in the nprobe lists of each query."""
+    importable(queries.sparkSession)
     centroids, codebooks = index.centroids, index.codebooks
     if not len(centroids):
         return topk(queries.select("query_id", F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score")).where("false"), n)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.sources.working import importable
+
 #: Weights of relevance, satisfaction, new genres, uncertainty and new content types, and what a new type is worth.
 RELEVANCE, SATISFACTION, DIVERSITY, EXPLORATION, BUSINESS, NEW_TYPE = 0.45, 0.25, 0.15, 0.10, 0.05, 0.5
 #: Fixed value: every fifth place is one for diversity.
@@ -63,6 +65,7 @@ def optimise_slate(cands: DataFrame, k: int = 12, explore_rate: float = 0.15) ->
         made = pd.DataFrame(choose(rows, k, explore_rate))
         return made.assign(query_id=group["query_id"].iloc[0])[["query_id", "place", "doc_id", "slot_type", "gain", "new_genres", "new_type"]]
 
+    importable(cands.sparkSession)
     kept = contenders(cands.where("genres is not null"), k)
     return kept.select("query_id", "doc_id", "rank", "genres", "content_type", "base").groupBy("query_id").applyInPandas(slate, SLATE)
 

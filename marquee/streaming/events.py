@@ -97,13 +97,15 @@ def split_late(sdf: DataFrame, ts: str, delay: str, as_of: str) -> DataFrame:
 
 
 def retrain_trigger(spark: SparkSession, sdf: DataFrame, path: str, checkpoint: str, n: int = 10_000):
-    """Count rows batch by batch in a table; each batch that brings the total over another multiple of n leaves a trigger row."""
+    """Count rows batch by batch in a table; a batch that brings the total over another multiple of n leaves a row (trigger_no, total) for each."""
 
     def step(batch: DataFrame, number: int) -> None:
         # a batch that is replayed overwrites its own folder
         batch.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
         total = spark.read.parquet(f"{path}/counts").where(F.col("batch") <= number).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("batch") < number, F.col("n"))).alias("before"))
-        total.where(F.floor(F.col("n") / n) > F.floor(F.coalesce("before", F.lit(0)) / n)).select("n").write.mode("overwrite").parquet(f"{path}/triggers/batch={number}")
+        reached, had = F.floor(F.col("n") / n), F.floor(F.coalesce("before", F.lit(0)) / n)
+        crossed = total.where(reached > had).select(F.explode(F.sequence(had + 1, reached)).alias("trigger_no"), F.col("n").alias("total"))
+        crossed.write.mode("overwrite").parquet(f"{path}/triggers/batch={number}")
 
     return sdf.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
