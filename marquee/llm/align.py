@@ -3,7 +3,8 @@
 Every text is tokenised in full by a byte-level vocabulary (A) and a sentence-piece vocabulary (B). Where a token of both
 begins with a space at the same byte, the tokens before it end together: such an anchor, verified by the byte counts of
 all tokens before it, cuts both id sequences. The windows between anchors are mostly one or two words long and repeat, so
-a bounded table keeps each window's alignment under its two tuples of ids.
+each distinct pair of id tuples among the texts that a task holds is aligned once, and its alignment is kept for all
+windows with the same ids.
 
 Two tokens that end at the same byte share their last bytes, so the shorter one is a suffix of the other. That bounds
 the pairs of ids that can ever be linked by the vocabularies alone (each token has one suffix of each length), however
@@ -15,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,10 +28,18 @@ from marquee.llm.bpe import byte_alphabet
 from marquee.llm.common import map_arrow, materialise, text_rows
 from marquee.llm.packing import byte_bpe
 
-#: Windows that a task keeps at a time, and the ids up to which a window is kept.
-TABLE, KEPT_IDS = 200_000, 32
-#: Bytes of text, about, whose rows leave a task together.
-ROWS_OF = 2 << 20
+#: Bytes of text, about, that are aligned together, or one text if that is longer.
+TOGETHER = 1 << 19
+#: An odd factor and its inverse modulo 2^64, of the hash that groups equal windows.
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _taken(values: np.ndarray, cuts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the chosen stretches between cuts one behind the other, their cuts)."""
+    n = np.diff(cuts)[which]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return values[np.repeat(cuts[which] - ends[:-1], n) + np.arange(ends[-1])], ends
 
 
 class Aligner:
@@ -57,9 +65,12 @@ class Aligner:
             self.bytes_b.append(b"" if self.b.is_control(i) or self.b.is_unknown(i) else raw)
         self.size_a, self.size_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in v]) for v in (self.bytes_a, self.bytes_b))
-        self.lengths_a, self.lengths_b = self.size_a.tolist(), self.size_b.tolist()
+        self.flat_a, self.flat_b = (np.frombuffer(b"".join(v), np.uint8) for v in (self.bytes_a, self.bytes_b))
+        self.begins_a, self.begins_b = (np.cumsum(n) - n for n in (self.size_a, self.size_b))
+        numbers = [str(i).encode() + b"," for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.digits, self.digits_size = np.frombuffer(b"".join(numbers), np.uint8), np.array([len(x) for x in numbers], np.int64)
+        self.digits_at = np.cumsum(self.digits_size) - self.digits_size
         self.pairs = self._possible()
-        self.table: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
 
     def _possible(self) -> np.ndarray:
         """a * (size of B) + b of every pair of ids of which one's bytes are a suffix of the other's, sorted."""
@@ -89,63 +100,99 @@ class Aligner:
         """The B id of each numbered pair."""
         return self.pairs % len(self.bytes_b)
 
-    def window(self, a: list[int], b: list[int]) -> tuple[str, bytes]:
-        """(groups as text, keys of the linked pairs) of ids that cover the same bytes: whichever side is behind moves on, and a group ends where both meet."""
-        size_a, size_b, many = self.lengths_a, self.lengths_b, len(self.bytes_b)
-        groups, links = [], array("q")
-        i = j = begin_a = begin_b = end_a = end_b = 0
-        while i < len(a) or j < len(b):
-            if end_a <= end_b:
-                end_a += size_a[a[i]]
-                i += 1
-            else:
-                end_b += size_b[b[j]]
-                j += 1
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[begin_a:i])) + "|" + ",".join(map(str, b[begin_b:j])))
-                links.append(a[i - 1] * many + b[j - 1])
-                begin_a, begin_b = i, j
-        return ";".join(groups), links.tobytes()
-
-    def align(self, text: str, a: np.ndarray, b: np.ndarray) -> tuple[str, bytes] | None:
-        """window() of a whole text, put together from its windows between anchors; None where a vocabulary's bytes aren't " " + text."""
-        whole = b" " + text.encode()
-        ids_a, ids_b = a.tolist(), b.tolist()
-        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != whole or b"".join(map(self.bytes_b.__getitem__, ids_b)) != whole:
-            return None
-        starts = [np.cumsum(size[ids]) - size[ids] for size, ids in ((self.size_a, a), (self.size_b, b))]
+    def windows(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(groups as text, its cuts, keys of the linked pairs, their cuts) of windows of ids that cover the same bytes, aligned together.
+
+        A group ends where a token of each side ends at the same byte. Its text is written token by token: A's ids, B's
+        ids, and behind each id a comma, behind the last of A a bar and behind the last of B a semicolon.
+        """
+        _, last_a, last_b = np.intersect1d(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]), assume_unique=True, return_indices=True)
+        in_a, in_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        place_a = np.arange(len(a)) + np.repeat(last_b + 1 - in_b, in_a)
+        place_b = np.arange(len(b)) + np.repeat(last_a + 1, in_b)
+        ids = np.empty(len(a) + len(b), np.int64)
+        ids[place_a], ids[place_b] = a, b
+        sign = np.full(len(ids), ord(","), np.uint8)
+        sign[place_a[last_a]], sign[place_b[last_b]] = ord("|"), ord(";")
+        text = self._bytes(self.digits, self.digits_at, self.digits_size, ids)
+        ends = np.concatenate([[0], np.cumsum(self.digits_size[ids])])
+        text[ends[1:] - 1] = sign
+        return text, ends[cuts_a + cuts_b], a[last_a] * len(self.bytes_b) + b[last_b], np.searchsorted(last_a, cuts_a)
+
+    def _bytes(self, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The bytes of tokens one behind the other."""
+        n = sizes[ids]
+        return flat[np.repeat(begins[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def _given_back(self, raws: list[bytes], a: list[np.ndarray], b: list[np.ndarray]) -> list[bool]:
+        """Of each text, whether both vocabularies' tokens are its bytes."""
+        good = [int(self.size_a[x].sum()) == int(self.size_b[y].sum()) == len(r) for r, x, y in zip(raws, a, b)]
+        kept = [n for n, g in enumerate(good) if g]
+        if kept:
+            whole = np.frombuffer(b"".join(raws[n] for n in kept), np.uint8)
+            begins = np.cumsum([0, *(len(raws[n]) for n in kept)])
+            for ids, flat, at, sizes in ((a, self.flat_a, self.begins_a, self.size_a), (b, self.flat_b, self.begins_b, self.size_b)):
+                other = np.flatnonzero(self._bytes(flat, at, sizes, np.concatenate([ids[n] for n in kept])) != whole)
+                for n in np.unique(np.searchsorted(begins, other, side="right") - 1).tolist():
+                    good[kept[n]] = False
+        return good
+
+    def _alike(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window of each kind, kind of each window) of the windows between cuts: windows are of one kind if their ids are equal.
+
+        Windows are grouped by a hash of their ids and then compared with the first of their group; those that differ from
+        it, which a hash of 64 bits makes all but impossible, are kinds of their own.
+        """
+        hashes = np.zeros(len(cuts_a) - 1, np.uint64)
+        for ids, cuts in ((a, cuts_a), (b, cuts_b)):
+            power = np.cumprod(np.full(len(ids), _FACTOR))
+            back = np.cumprod(np.full(len(ids) + 1, _INVERSE))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((ids + np.uint64(1)) * power)])
+            part = (total[cuts[1:]] - total[cuts[:-1]]) * back[cuts[:-1]]
+            hashes = (hashes ^ (hashes >> np.uint64(29))) * _FACTOR + part + np.diff(cuts).astype(np.uint64)
+        _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
+        differs = np.zeros(len(hashes), bool)
+        for ids, cuts in ((a, cuts_a), (b, cuts_b)):
+            n, like = np.diff(cuts), first[kind]
+            differs |= n != n[like]
+            here = np.where(differs, 0, n)
+            at = np.arange(here.sum()) - np.repeat(np.cumsum(here) - here, here)
+            unequal = ids[np.repeat(cuts[:-1], here) + at] != ids[np.repeat(cuts[:-1][like], here) + at]
+            differs[np.repeat(np.arange(len(n)), here)[unequal]] = True
+        odd = np.flatnonzero(differs)
+        kind[odd] = len(first) + np.arange(len(odd))
+        return np.concatenate([first, odd]), kind
+
+    def rows(self, texts: list[str]) -> list[tuple[int, int, bytes, np.ndarray]]:
+        """(ids of A, ids of B, groups as text, keys of the linked pairs) of each text; nothing where there are no tokens."""
+        found: list[tuple[int, int, bytes, np.ndarray]] = [(0, 0, b"", np.zeros(0, np.int64))] * len(texts)
+        asked = [n for n, t in enumerate(texts) if t]
+        raws = [b" " + texts[n].encode() for n in asked]
+        all_a = [np.frombuffer(self.a.encode_plain(" " + texts[n]), "<u4").astype(np.int64) for n in asked]
+        all_b = [np.array(self.b.encode(texts[n]), np.int64) for n in asked]
+        kept = [k for k, good in enumerate(self._given_back(raws, all_a, all_b)) if good]
+        if not kept:
+            return found
+        a, b = np.concatenate([all_a[k] for k in kept]), np.concatenate([all_b[k] for k in kept])
+        # both sides' tokens cover the same bytes, so places of one text are places of all texts behind each other; a text's first tokens begin with its space
+        begin_a, begin_b = (np.cumsum(n) - n for n in (self.size_a[a], self.size_b[b]))
         marked_a, marked_b = np.flatnonzero(self.space_a[a]), np.flatnonzero(self.space_b[b])
-        _, at_a, at_b = np.intersect1d(starts[0][marked_a], starts[1][marked_b], assume_unique=True, return_indices=True)
-        cuts_a, cuts_b = [*marked_a[at_a].tolist(), len(ids_a)], [*marked_b[at_b].tolist(), len(ids_b)]
-        raw_a, raw_b = a.tobytes(), b.tobytes()
-        groups, links = [], []
-        i = j = 0
-        table = self.table
-        for x, y in zip(cuts_a, cuts_b):
-            if x == i:
-                continue
-            key = (raw_a[4 * i : 4 * x], raw_b[4 * j : 4 * y])
-            made = table.get(key)
-            if made is None:
-                made = self.window(ids_a[i:x], ids_b[j:y])
-                if x - i + y - j <= KEPT_IDS:
-                    if len(table) >= TABLE:
-                        table.clear()
-                    table[key] = made
-            groups.append(made[0])
-            links.append(made[1])
-            i, j = x, y
-        return ";".join(groups), b"".join(links)
-
-    def row(self, text: str) -> tuple[int, int, str, bytes]:
-        """(ids of A, ids of B, groups as text, keys of the linked pairs) of a text; nothing where there are no tokens."""
-        if text:
-            a = np.frombuffer(self.a.encode_plain(" " + text), "<u4")
-            b = np.array(self.b.encode(text), "<u4")
-            made = self.align(text, a, b)
-            if made:
-                return len(a), len(b), *made
-        return 0, 0, "", b""
+        anchors, at_a, at_b = np.intersect1d(begin_a[marked_a], begin_b[marked_b], assume_unique=True, return_indices=True)
+        cuts_a, cuts_b = np.append(marked_a[at_a], len(a)), np.append(marked_b[at_b], len(b))
+        first, kind = self._alike(a.astype(np.uint64), b.astype(np.uint64), cuts_a, cuts_b)
+        # each distinct window is aligned once, and every window takes its kind's alignment
+        kind_a, own_a = _taken(a, cuts_a, first)
+        kind_b, own_b = _taken(b, cuts_b, first)
+        text, text_cuts, keys, key_cuts = self.windows(kind_a, kind_b, own_a, own_b)
+        written, ends = _taken(text, text_cuts, kind)
+        links, link_ends = _taken(keys, key_cuts, kind)
+        begins = np.cumsum([0, *(len(raws[k]) for k in kept)])
+        bounds = np.searchsorted(anchors, begins)
+        for n, k in enumerate(kept):
+            i, j = bounds[n], bounds[n + 1]
+            # the last group's semicolon stands between windows only
+            found[asked[k]] = (len(all_a[k]), len(all_b[k]), written[ends[i] : ends[j] - 1].tobytes(), links[link_ends[i] : link_ends[j]])
+        return found
 
 
 @lru_cache(1)
@@ -165,25 +212,19 @@ def groups(docs: DataFrame, path_a: str, path_b: str, written: bool = True) -> D
 
     def table(work: Aligner, ids: list, rows: list[tuple]) -> pa.RecordBatch:
         n_a, n_b, texts, digests, links = zip(*rows)
-        ends = pa.array(np.cumsum([0, *(len(x) // 8 for x in links)]).astype(np.int32))
-        listed = pa.ListArray.from_arrays(ends, pa.array(work.numbers(np.frombuffer(b"".join(links), "<i8"))))
+        ends = pa.array(np.cumsum([0, *map(len, links)]).astype(np.int32))
+        listed = pa.ListArray.from_arrays(ends, pa.array(work.numbers(np.concatenate(links))))
         columns = {"doc_id": pa.array(ids, pa.int64()), "n_a": pa.array(n_a, pa.int64()), "n_b": pa.array(n_b, pa.int64()), "groups_sha256": pa.array(digests, pa.string()), "links": listed}
         return pa.RecordBatch.from_pydict(columns | ({"groups": pa.array(texts, pa.string())} if written else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = aligner(path_a, path_b)
         for batch in batches:
-            ids, rows, held = [], [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                n_a, n_b, made, links = work.row(text.as_py())
-                rows.append((n_a, n_b, made if written else None, hashlib.sha256(made.encode()).hexdigest() if made else "", links))
-                ids.append(doc)
-                held += len(links)
-                if held >= ROWS_OF:
-                    yield table(work, ids, rows)
-                    ids, rows, held = [], [], 0
-            if rows:
-                yield table(work, ids, rows)
+            ends = pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).cumsum()
+            cuts = [0, *(np.flatnonzero(np.diff(ends // TOGETHER)) + 1).tolist(), len(ends)] if len(ends) else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                rows = [(*r[:2], r[2].decode() if written else None, hashlib.sha256(r[2]).hexdigest() if r[2] else "", r[3]) for r in work.rows(batch.column("text").slice(a, b - a).to_pylist())]
+                yield table(work, batch.column("doc_id").slice(a, b - a).to_pylist(), rows)
 
     return map_arrow(text_rows(docs), run, FIELDS + (", groups string" if written else ""))
 

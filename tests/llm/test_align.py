@@ -93,13 +93,16 @@ def test_links_are_numbered_within_a_bound_of_the_vocabularies(spark):
     assert (work.numbers(work.pairs[::997]) == np.arange(len(work.pairs))[::997]).all()
 
 
-def test_windows_forgotten_or_not_kept_change_nothing(monkeypatch):
+def test_texts_together_and_alone_are_aligned_alike():
     work = align.Aligner(A, B)
-    text = "The quick brown fox, unbelievably quick, jumps over 12345 lazy dogs; the quick brown fox again. " * 3
-    whole = work.row(text)
-    assert work.table
-    monkeypatch.setattr(align, "TABLE", 2)
-    assert work.row(text) == whole
-    monkeypatch.setattr(align, "KEPT_IDS", 0)
-    work.table.clear()
-    assert work.row(text) == whole and not work.table
+    texts = ["The quick brown fox, unbelievably quick, jumps over 12345 lazy dogs; " * 3, "", ODD[0], ODD[3], "the quick", ODD[8]]
+    seen = lambda rows: [(*r[:3], r[3].tolist()) for r in rows]
+    assert seen(work.rows(texts)) == [r for t in texts for r in seen(work.rows([t]))]
+
+
+def test_windows_whose_hashes_meet_are_told_apart(monkeypatch):
+    work = align.Aligner(A, B)
+    texts = ["The quick brown fox jumps over lazy dogs", "again the quick fox"]
+    whole = [(*r[:3], r[3].tolist()) for r in work.rows(texts)]
+    monkeypatch.setattr(align, "_FACTOR", np.uint64(0))
+    assert [(*r[:3], r[3].tolist()) for r in work.rows(texts)] == whole
