@@ -3,9 +3,10 @@
 Three fixed patterns find credentials that are labelled by what stands around or in them. A credential's shape is its
 runs of characters of one alphabet (lower-case hex digits, capitals and digits, ...) with their lengths. The prefix tree
 of each kind's shapes is folded into a probabilistic automaton: states whose outgoing frequencies, and those of all
-states behind them, the Hoeffding bound can't tell apart are merged (the ALERGIA procedure). Every long token of every
-text is then scored by how much likelier the best automaton makes its shape than the pairs of runs that ordinary tokens
-of all documents have.
+states behind them, the Hoeffding bound can't tell apart are merged (the ALERGIA procedure); states that few values reached
+stay apart. Every long token of every text is then scored: it is a secret if an automaton accepts its shape, and makes it
+likelier by some nats than the pairs of runs that ordinary tokens of all documents have. A shape that no labelled value
+has led to is never one, however rare it is in ordinary text.
 """
 
 from __future__ import annotations
@@ -38,10 +39,14 @@ ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 PLACEHOLDER = "[SECRET]"
 #: Values of a kind that its automaton is fitted on at most: those of smallest hash among all documents' values.
 VALUES = 400
-#: Confidence of the test that keeps two states apart, and nats that a candidate must gain.
-ALPHA, GAIN = 0.05, 10.0
+#: Confidence of the test that keeps two states apart, and values of each that it needs.
+ALPHA, LEAST = 0.05, 8
+#: Nats that a candidate must gain.
+GAIN = 5.0
 #: Symbols that can occur, about: alphabets, lengths and signs; each counts half a time more than seen.
 SYMBOLS = 80
+#: How many times a symbol's own frequency counts beside those behind its neighbour.
+BACKOFF = 20.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -112,7 +117,11 @@ class Automaton:
             seen.add(pair)
             a, b = pair
             n, m = self.total(a), self.total(b)
-            if not n or not m:
+            if min(n, m) < LEAST:
+                # too few values to tell: such states are alike only if nothing but one and the same can follow
+                if self.out[a].keys() != self.out[b].keys() or bool(self.ends[a]) != bool(self.ends[b]):
+                    return False
+                stack += [(self.out[a][c], self.out[b][c]) for c in self.out[a]]
                 continue
             most = math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
             if abs(self.ends[a] / n - self.ends[b] / m) > most:
@@ -158,16 +167,15 @@ class Automaton:
         self.ends = [self.ends[r] for r in red]
 
     def likelihood(self, symbols: tuple[str, ...]) -> float:
-        """Log-likelihood of the symbols and that the value ends there; behind an unseen symbol all are equally likely."""
-        at: int | None = 0
+        """Log-likelihood of the symbols and that the value ends there; minus infinity for what the automaton doesn't accept."""
+        at = 0
         got = 0.0
         for c in symbols:
-            if at is None:
-                got -= math.log(SYMBOLS)
-                continue
-            got += math.log((self.count[at].get(c, 0) + 0.5) / (self.total(at) + SYMBOLS / 2))
-            at = self.out[at].get(c)
-        return got - math.log(SYMBOLS) if at is None else got + math.log((self.ends[at] + 0.5) / (self.total(at) + SYMBOLS / 2))
+            if c not in self.out[at]:
+                return -math.inf
+            got += math.log(self.count[at][c] / self.total(at))
+            at = self.out[at][c]
+        return got + math.log(self.ends[at] / self.total(at)) if self.ends[at] else -math.inf
 
 
 def _pairs(symbols: tuple[str, ...]) -> Iterator[tuple[str, str]]:
@@ -181,12 +189,22 @@ class Formats:
     automata: dict[str, Automaton]
     ordinary: dict[tuple[str, str], int]
     first: dict[str, int]
+    second: dict[str, int]
+
+    def background(self, symbols: tuple[str, ...]) -> float:
+        """Log-likelihood of the symbols as an ordinary token: a symbol behind another by how often both met, and by its own frequency where they seldom did."""
+        total = sum(self.second.values())
+        got = 0.0
+        for a, b in _pairs(symbols):
+            alone = (self.second.get(b, 0) + 0.5) / (total + SYMBOLS / 2)
+            got += math.log((self.ordinary.get((a, b), 0) + BACKOFF * alone) / (self.first.get(a, 0) + BACKOFF))
+        return got
 
     def gain(self, value: str) -> float:
-        """Nats by which the best automaton beats ordinary tokens."""
+        """Nats by which the best automaton that accepts the value's shape beats ordinary tokens; minus infinity if none does."""
         symbols = shape(value)
-        base = sum(math.log((self.ordinary.get(p, 0) + 0.5) / (self.first.get(p[0], 0) + SYMBOLS / 2)) for p in _pairs(symbols))
-        return max((a.likelihood(symbols) - base for a in self.automata.values()), default=-math.inf)
+        best = max((a.likelihood(symbols) for a in self.automata.values()), default=-math.inf)
+        return best - self.background(symbols) if best > -math.inf else best
 
 
 def learn(values: list[tuple[str, str]], ordinary: list[str] | dict[tuple[str, str], int], alpha: float = ALPHA) -> Formats:
@@ -202,9 +220,11 @@ def learn(values: list[tuple[str, str]], ordinary: list[str] | dict[tuple[str, s
                 automata[kind].add(v)
             automata[kind].merge_alike(alpha)
     first: Counter = Counter()
-    for (a, _), n in ordinary.items():
+    second: Counter = Counter()
+    for (a, b), n in ordinary.items():
         first[a] += n
-    return Formats(automata, dict(ordinary), dict(first))
+        second[b] += n
+    return Formats(automata, dict(ordinary), dict(first), dict(second))
 
 
 def _uncovered(text: str, spans: list[tuple[int, int, str]], token: re.Pattern) -> Iterator[re.Match]:
@@ -244,7 +264,7 @@ def fit(docs: DataFrame, values: int = VALUES) -> Formats:
 
 
 def all_spans(text: str, formats: Formats, gain: float = GAIN) -> list[tuple[int, int, str]]:
-    """The fixed patterns' spans and those of other tokens with a digit and a letter whose shape the automata find likely."""
+    """The fixed patterns' spans and those of other tokens with a digit and a letter whose shape an automaton accepts and finds likely."""
     spans = base_spans(text)
     added = []
     for m in _uncovered(text, spans, TOKEN):
@@ -292,7 +312,10 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
-    """docs with the secrets in `text` replaced by a placeholder; null text stays null, other columns pass through."""
+    """docs with the secrets in `text` replaced by a placeholder; null text stays null, other columns pass through.
+
+    Empty texts stay empty, repeated rows are redacted alike, and spans that touch or overlap leave one placeholder.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     known = formats or fit(docs)

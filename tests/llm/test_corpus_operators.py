@@ -374,9 +374,11 @@ def test_configurations_use_every_piece_once():
     rng = random.Random(6)
     histogram = Counter(min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(5000))
     used = Counter()
-    for c, times in packing.configurations(histogram):
-        assert sum(length * n for length, n in c.items()) <= 2048
-        for length, n in c.items():
+    plan, bound = packing.configurations(histogram)
+    assert bound <= sum(times for _, times in plan)
+    for c, times in plan:
+        assert sum(length * n for length, n in c) <= 2048
+        for length, n in c:
             used[length] += n * times
     assert used == histogram
 
