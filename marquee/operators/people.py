@@ -66,9 +66,7 @@ def in_silo(ix: DataFrame, genres: DataFrame, window: int = 10, share: float = 0
 
 
 def state_score(cands: DataFrame, weighted: DataFrame, genres: DataFrame, recent: int = 20) -> DataFrame:
-    """Change of score for cands(user_id, doc_id): -10 for negatives, a tenth of genre affinities, -2 for recent ones, times confidence.
-
-    Rounded to nine places first, so that sums taken in another order give the same four."""
+    """Change of score for cands(user_id, doc_id): -10 for negatives, a tenth of genre affinities, -2 for recent ones, times confidence."""
     affinity = genre_affinity(weighted, genres)
     fit = cands.join(genres, "doc_id").join(affinity, ["user_id", "genre"]).groupBy("user_id", "doc_id").agg((F.sum("affinity") * 0.1).alias("fit"))
     negative = weighted.where("negative").select("user_id", "doc_id").distinct().withColumn("negative", F.lit(True))
@@ -77,7 +75,7 @@ def state_score(cands: DataFrame, weighted: DataFrame, genres: DataFrame, recent
     both = cands.join(fit, ["user_id", "doc_id"], "left").join(negative, ["user_id", "doc_id"], "left").join(seen, ["user_id", "doc_id"], "left").join(n, "user_id", "left")
     confidence = F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.log1p(F.coalesce("n", F.lit(0))) / F.log1p(F.lit(50))))
     score = (F.coalesce("fit", F.lit(0.0)) - F.when(F.col("recent"), 2.0).otherwise(0.0)) * confidence
-    return both.select("user_id", "doc_id", F.round(F.when(F.col("negative"), -10.0).otherwise(F.round(score, 9)), 4).alias("state_score"))
+    return both.select("user_id", "doc_id", F.when(F.col("negative"), -10.0).otherwise(score).alias("state_score"))
 
 
 def satisfaction(events: DataFrame, as_of: str, half_life: float = 30.0) -> DataFrame:

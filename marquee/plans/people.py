@@ -48,13 +48,13 @@ QUERIES = {
         f"WITH {WEIGHTED[1:]} SELECT user_id, genre, round(affinity, 6) AS affinity FROM aff",
     ),
     "h05_state_score": (
-        lambda d: H.state_score(candidates(d), H.weighted_interactions(d.interactions, AS_OF), genres(d)).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("state_score"), 2).alias("total")),
+        lambda d: H.state_score(candidates(d), H.weighted_interactions(d.interactions, AS_OF), genres(d)).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("state_score").alias("total")),
         f"""WITH {WEIGHTED[1:]}, cand AS (SELECT DISTINCT user_id, (doc_id + 1) % 100 AS doc_id FROM watch_events),
         fit AS (SELECT user_id, doc_id, sum(affinity) * 0.1 AS fit FROM cand JOIN genres USING (doc_id) JOIN aff USING (user_id, genre) GROUP BY 1, 2),
         seen AS (SELECT DISTINCT user_id, doc_id FROM (SELECT user_id, doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM wt) WHERE r <= 20),
         conf AS (SELECT user_id, least(1, greatest(0.1, ln(1 + count(*)) / ln(51))) AS c FROM wt GROUP BY 1)
-        SELECT user_id, count(*) AS n, round(sum(round(CASE WHEN (user_id, doc_id) IN (SELECT (user_id, doc_id) FROM wt WHERE negative) THEN -10 ELSE
-        round((coalesce(fit, 0) - CASE WHEN (user_id, doc_id) IN (SELECT (user_id, doc_id) FROM seen) THEN 2 ELSE 0 END) * c, 9) END, 4)), 2) AS total FROM cand LEFT JOIN fit USING (user_id, doc_id) LEFT JOIN conf USING (user_id) GROUP BY 1""",
+        SELECT user_id, count(*) AS n, sum(CASE WHEN (user_id, doc_id) IN (SELECT (user_id, doc_id) FROM wt WHERE negative) THEN -10 ELSE
+        (coalesce(fit, 0) - CASE WHEN (user_id, doc_id) IN (SELECT (user_id, doc_id) FROM seen) THEN 2 ELSE 0 END) * c END) AS total FROM cand LEFT JOIN fit USING (user_id, doc_id) LEFT JOIN conf USING (user_id) GROUP BY 1""",
     ),
     "w06_drift_score": (
         lambda d: H.drift_score(d.interactions, genres(d)),

@@ -145,10 +145,10 @@ QUERIES = {
     ),
     "x06_merge_household": (lambda d: S.merge_household(feeds(d), 9), None),
     "x11_cross_format": (
-        lambda d: S.cross_format(formatted(d)).select("query_id", "doc_id", F.round("format_boost", 6).alias("format_boost"), F.round("score", 6).alias("score")),
+        lambda d: S.cross_format(formatted(d)).select("query_id", "doc_id", "format_boost", "score"),
         f"""WITH {UR}, x AS (SELECT user_id AS query_id, doc_id, score, CASE content_type WHEN 'live' THEN 'live_event' ELSE content_type END AS kind, CASE user_id % 4 WHEN 1 THEN 'live' WHEN 2 THEN 'games' ELSE 'home' END AS surface,
         CASE user_id % 3 WHEN 0 THEN 'social_watching' WHEN 1 THEN 'background_noise' ELSE '' END AS intent FROM ur JOIN content_metadata USING (doc_id)), y AS (SELECT *, {_case(S.SURFACE_MIX, 'surface', '0.1::DOUBLE')} * 0.1::DOUBLE + {_case(S.INTENT_FORMATS, 'intent', '1')} * 0.1::DOUBLE * 0.5::DOUBLE AS b FROM x)
-        SELECT query_id, doc_id, round(b, 6) AS format_boost, round(score * (1 + b), 6) AS score FROM y""",
+        SELECT query_id, doc_id, b AS format_boost, score * (1 + b) AS score FROM y""",
     ),
     "h06_session_summary": (
         lambda d: S.session_summary(d.events.selectExpr("concat(user_id, '_', date(ts)) AS session_id", "ts", "event_id", "event_type AS intent")),
