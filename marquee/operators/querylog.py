@@ -37,14 +37,24 @@ def correct_spelling(queries: DataFrame, vocabulary: tuple[str, ...] = GENRES +
 
 
 def recognise_entities(queries: DataFrame, text: str = "text") -> DataFrame:
-    """Genres, moods, years and decades (as four digits) that each query names, comma-joined."""
+    """Genres, moods, years, decades (as four digits) and persons that each query names, comma-joined."""
     low = F.lower(text)
     years = F.regexp_extract_all(low, F.lit(r"\b(19[0-9]{2}|20[0-2][0-9])\b"), F.lit(1))
     decades = F.transform(F.regexp_extract_all(low, F.lit(r"\b((?:19|20)?[0-9]0)s\b"), F.lit(1)), lambda d: F.when(F.length(d) == 2, F.concat(F.when(d < "30", "20").otherwise("19"), d)).otherwise(d))
-    lists = {"genres": X.keyword_hits(low, sorted(GENRES)), "moods": X.keyword_hits(low, sorted(MOODS)), "years": years, "decades": decades}
+    lists = {"genres": X.keyword_hits(low, sorted(GENRES)), "moods": X.keyword_hits(low, sorted(MOODS)), "years": years, "decades": decades, "persons": persons(F.col(text))}
     return queries.select("query_id", text, *(F.array_join(v, ",").alias(n) for n, v in lists.items()))
 
 
+def persons(text: Column) -> Column:
+    """For each trigger that a query has, in their order, the capitalised ones of the three words behind its first place, blank-joined."""
+    names = []
+    for trigger in PEOPLE:
+        at = F.instr(F.lower(text), trigger)
+        words = F.filter(F.split(F.trim(F.substring(text, at + len(trigger), F.length(text))), r"\s+"), lambda w: w != "")
+        names.append(F.when(at > 0, F.array_join(F.filter(F.slice(words, 1, 3), lambda w: w.rlike(r"^\p{Lu}")), " ")).otherwise(""))
+    return F.filter(F.array(*names), lambda n: n != "")
+
+
 def person(text: Column) -> Column:
     """Capitalised words (up to three) behind the first trigger that has some; of the raw query."""
     out = F.lit("")
@@ -99,12 +109,20 @@ def needs_rewrite(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", ((n >= 3) | _any(low, SIMILAR) | _any(low, EXPLORE)).alias("needs_rewrite"))
 
 
+#: Misspellings and format words that put a query in a slice.
+SLICE_TYPOS = ("thrilller", "acton", "movei", "sci fi")
+SLICE_FORMATS = ("podcast", "game", "live", "series")
+
+
 def slice_queries(queries: DataFrame) -> DataFrame:
-    """(query_id, dimension, slice): length and script of each query."""
+    """(query_id, dimension, slice): length and script of each query, whether it has a known misspelling, and whether it names another format."""
     n = F.size(F.split(F.trim("text"), r"\s+"))
     length = F.when(n <= 2, "short").when(n >= 5, "long").otherwise("medium")
     script = F.when(F.col("text").rlike(r"[^\x00-\x7F]"), "non_ascii").otherwise("ascii")
-    return queries.select("query_id", F.explode(F.create_map(F.lit("length"), length, F.lit("script"), script)).alias("dimension", "slice"))
+    typo = F.when(_any(F.col("text"), SLICE_TYPOS), "typo").otherwise("as_typed")
+    formats = F.when(_any(F.lower("text"), SLICE_FORMATS), "cross_format").otherwise("film")
+    kinds = {"length": length, "script": script, "typo": typo, "format": formats}
+    return queries.select("query_id", F.explode(F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), v)])).alias("dimension", "slice"))
 
 
 def slice_users(users: DataFrame, n: str = "interaction_count") -> DataFrame:
@@ -120,18 +138,27 @@ def session_intent(sessions: DataFrame) -> DataFrame:
 
 
 #: Words that tell the mood of artwork.
-MOOD_WORDS = {"tense": ("dark", "crime", "thriller", "murder"), "warm": ("family", "love", "friend", "romance"), "epic": ("war", "king", "battle", "space"), "light": ("comedy", "funny", "music", "dance")}
-
-
-def keyword_mood(items: DataFrame, text: str = "text") -> DataFrame:
-    """The mood with the most keyword hits, the first listed among equals; neutral without any."""
-    low = F.lower(text)
+MOOD_WORDS = {
+    "dark_moody": ("dark", "noir", "thriller", "horror", "crime", "mystery"),
+    "bright_action": ("action", "adventure", "superhero", "explosion", "mission"),
+    "warm_romantic": ("romance", "love", "wedding", "family", "drama"),
+    "cold_thriller": ("spy", "assassin", "chase", "conspiracy", "war"),
+    "playful_comedy": ("comedy", "funny", "laugh", "cartoon", "animation"),
+    "epic_drama": ("epic", "historical", "period", "empire", "saga"),
+    "documentary": ("documentary", "true", "real", "story", "based"),
+}
+
+
+def keyword_mood(items: DataFrame) -> DataFrame:
+    """(doc_id, mood, hits, confidence): the mood with the most keywords in title and text, the first listed among equals; unknown without any."""
+    low = F.lower(F.concat_ws(" ", "title", "text"))
     hits = {m: F.size(X.keyword_hits(low, list(ws))) for m, ws in MOOD_WORDS.items()}
     best = F.greatest(*hits.values())
-    out = F.lit("neutral")
+    out = F.lit("unknown")
     for m, h in reversed(hits.items()):
         out = F.when((h == best) & (best > 0), m).otherwise(out)
-    return items.select("doc_id", out.alias("mood"), best.alias("hits"))
+    sure = F.when(best > 0, F.least(F.lit(0.95), 0.4 + best * 0.15)).otherwise(0.3)
+    return items.select("doc_id", out.alias("mood"), best.alias("hits"), sure.alias("confidence"))
 
 
 def pivot_flag(log: DataFrame, by: str, ts: str, column: str) -> DataFrame:

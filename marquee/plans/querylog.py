@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from marquee.functions import text as X
+from marquee.operators import entities as E
 from marquee.operators import querylog as N
 
 #: Queries: an item's title with a lead-in that reveals an intent, misspelled genres among them.
@@ -26,13 +27,31 @@ def hits(words) -> str:
     return f"list_filter([{', '.join(repr(w) for w in sorted(words))}], lambda x: contains(lower(text), x))"
 
 
+def named(trigger: str) -> str:
+    behind = f"regexp_split_to_array(trim(substring(text, instr(lower(text), '{trigger}') + {len(trigger)})), '\\s+')"
+    return f"CASE WHEN instr(lower(text), '{trigger}') > 0 THEN array_to_string(list_filter(list_slice({behind}, 1, 3), lambda x: regexp_matches(x, '^\\p{{Lu}}')), ' ') ELSE '' END"
+
+
 DECADES = "list_transform(regexp_extract_all(lower(text), '\\b((?:19|20)?[0-9]0)s\\b', 1), lambda x: CASE WHEN length(x) = 2 THEN CASE WHEN x < '30' THEN '20' ELSE '19' END || x ELSE x END)"
 ENTITIES = f"""en AS (SELECT query_id, text, array_to_string({hits(N.GENRES)}, ',') AS genres, array_to_string({hits(N.MOODS)}, ',') AS moods,
-array_to_string(regexp_extract_all(lower(text), '\\b(19[0-9]{{2}}|20[0-2][0-9])\\b', 1), ',') AS years, array_to_string({DECADES}, ',') AS decades FROM lg)"""
+array_to_string(regexp_extract_all(lower(text), '\\b(19[0-9]{{2}}|20[0-2][0-9])\\b', 1), ',') AS years, array_to_string({DECADES}, ',') AS decades, array_to_string(list_filter([{', '.join(named(t) for t in N.PEOPLE)}], lambda x: x <> ''), ',') AS persons FROM lg)"""
 ANY = lambda ws: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + ")"
 WORDS = "len(regexp_split_to_array(trim(text), '\\s+'))"
 MOOD = {m: f"len(list_filter([{', '.join(repr(w) for w in ws)}], lambda x: contains(lower(text), x)))" for m, ws in N.MOOD_WORDS.items()}
 BEST = f"greatest({', '.join(MOOD.values())})"
+#: The log's queries with names and triggers of several kinds.
+ASKED = """SELECT doc_id AS query_id, CASE doc_id % 5 WHEN 0 THEN 'Movies like Blue ' || upper(substring(title, 1, 1)) || 'otel, please' WHEN 1 THEN 'crime thriller by Anna ' || upper(substring(title, 1, 1)) || 'ergman from the 1980s'
+WHEN 2 THEN 'scary 90s films with Tom Hanks' WHEN 3 THEN 'dark ' || title || ' 2010s starring Uma Thurman' ELSE title END AS text FROM items"""
+
+
+def asked(d):
+    d.items.createOrReplaceTempView("items")
+    return d.spark.sql(ASKED)
+
+
+def joined(df, *columns):
+    return df.select(*(F.array_join(c, "|").alias(c) if c in columns else c for c in df.columns))
+
 
 QUERIES = {
     "n01_correct_spelling": (lambda d: N.correct_spelling(log(d)), f"WITH {CORRECT} SELECT * FROM co"),
@@ -59,7 +78,20 @@ QUERIES = {
     "n09_needs_rewrite": (lambda d: N.needs_rewrite(log(d)), f"WITH lg AS ({LOG}) SELECT query_id, {WORDS} >= 3 OR {ANY(N.SIMILAR)} OR {ANY(N.EXPLORE)} AS needs_rewrite FROM lg"),
     "n10_slice_queries": (
         lambda d: N.slice_queries(log(d)),
-        f"WITH lg AS ({LOG}) SELECT query_id, 'length' AS dimension, CASE WHEN {WORDS} <= 2 THEN 'short' WHEN {WORDS} >= 5 THEN 'long' ELSE 'medium' END AS slice FROM lg UNION ALL SELECT query_id, 'script', CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 'non_ascii' ELSE 'ascii' END FROM lg",
+        f"WITH lg AS ({LOG}) SELECT query_id, 'length' AS dimension, CASE WHEN {WORDS} <= 2 THEN 'short' WHEN {WORDS} >= 5 THEN 'long' ELSE 'medium' END AS slice FROM lg UNION ALL SELECT query_id, 'script', CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 'non_ascii' ELSE 'ascii' END FROM lg UNION ALL SELECT query_id, 'typo', CASE WHEN {' OR '.join(f"contains(text, '{w}')" for w in N.SLICE_TYPOS)} THEN 'typo' ELSE 'as_typed' END FROM lg UNION ALL SELECT query_id, 'format', CASE WHEN {ANY(N.SLICE_FORMATS)} THEN 'cross_format' ELSE 'film' END FROM lg",
+    ),
+    "n06_extract_entities": (
+        lambda d: joined(E.extract_entities(asked(d)), "genres", "decades", "similar_to", "directors", "actors", "keywords").drop("text"),
+        f"""WITH lg AS ({ASKED}), x AS (SELECT query_id, text, lower(text) AS low, {hits(E.GENRES)} AS genres, list_transform(regexp_extract_all(lower(text), '{E.DECADE}', 1), lambda x: CASE WHEN length(x) = 2 THEN CASE WHEN x < '30' THEN '20' ELSE '19' END || x ELSE x END || 's') AS decades FROM lg)
+        SELECT query_id, array_to_string(genres, '|') AS genres, array_to_string(decades, '|') AS decades, {', '.join(f"array_to_string(list_transform(regexp_extract_all(text, '{p}', 1), lambda x: trim(x)), '|') AS {n}" for n, p in E.PATTERNS.items())},
+        array_to_string(list_filter(regexp_split_to_array(trim(low), '\\s+'), lambda w: length(w) > 2 AND w NOT IN {E.STOP} AND NOT list_contains(string_split(array_to_string(genres || decades, ' '), ' '), w)), '|') AS keywords FROM x""",
+    ),
+    "n06_match_names": (
+        lambda d: E.match_names(d.corpus.select(F.col("doc_id").alias("text_id"), "text"), d.search_queries.select(F.col("query_id").alias("name_id"), F.col("text").alias("name"))),
+        """WITH w AS (SELECT doc_id AS text_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) - 1 AS place FROM corpus),
+        n AS (SELECT query_id AS name_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS key FROM search_queries)
+        SELECT text_id, name_id, CAST(place AS INT) AS place, CAST(len(n.key) AS INT) AS n FROM n JOIN (SELECT text_id, place, list(w) OVER (PARTITION BY text_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS key FROM w) g
+        ON len(n.key) > 0 AND g.key[1:len(n.key)] = n.key""",
     ),
     "n10_slice_users": (lambda d: N.slice_users(d.users), "SELECT user_id, CASE WHEN interaction_count < 5 THEN 'cold' WHEN interaction_count < 50 THEN 'warm' ELSE 'hot' END AS slice FROM users"),
     "n11_session_intent": (
@@ -69,7 +101,7 @@ QUERIES = {
     ),
     "n12_keyword_mood": (
         lambda d: N.keyword_mood(d.corpus),
-        f"SELECT doc_id, CASE WHEN {BEST} = 0 THEN 'neutral' {' '.join(f'''WHEN {h} = {BEST} THEN '{m}' ''' for m, h in MOOD.items())} END AS mood, CAST({BEST} AS INT) AS hits FROM corpus",
+        f"SELECT doc_id, CASE WHEN {BEST} = 0 THEN 'unknown' {' '.join(f'''WHEN {h} = {BEST} THEN '{m}' ''' for m, h in MOOD.items())} END AS mood, CAST({BEST} AS INT) AS hits, CASE WHEN {BEST} > 0 THEN least(0.95, 0.4 + {BEST} * 0.15) ELSE 0.3 END::DOUBLE AS confidence FROM corpus",
     ),
     "w07_pivot_flag": (
         lambda d: N.pivot_flag(d.events, "user_id", "ts", "event_type"),
