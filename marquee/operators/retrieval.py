@@ -155,6 +155,22 @@ def sweep_alpha(bm25: DataFrame, dense: DataFrame, grid: list[float]) -> DataFra
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("alpha", "query_id").orderBy(F.desc("score"), "doc_id")))
 
 
+def pick_alpha(swept: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
+    """(alpha, ndcg, best) of sweep_alpha()'s rankings: mean nDCG over the queries with judgements, and which alpha has the highest (to nine places, the smallest of equals).
+
+    The judgements are joined once with all alphas' rankings.
+    """
+    gain = lambda c: F.pow(F.lit(2.0), F.col(c)) - 1
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "doc_id"))
+    ideal = qrels.withColumn("p", place).where(F.col("p") <= k).groupBy("query_id").agg(F.sum(gain("relevance") / F.log2(F.col("p") + 1)).alias("ideal")).where("ideal > 0")
+    got = swept.where(F.col("rank") <= k).join(qrels, ["query_id", "doc_id"]).groupBy("alpha", "query_id").agg(F.sum(gain("relevance") / F.log2(F.col("rank") + 1)).alias("dcg"))
+    each = swept.select("alpha").distinct().crossJoin(ideal).join(got, ["alpha", "query_id"], "left")
+    mean = each.groupBy("alpha").agg(F.avg(F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias("ndcg"))
+    # one row an alpha
+    first = mean.agg(F.max_by("alpha", F.struct(F.round("ndcg", 9), -F.col("alpha"))).alias("chosen"))
+    return mean.crossJoin(F.broadcast(first)).select("alpha", "ndcg", (F.col("alpha") == F.col("chosen")).alias("best"))
+
+
 def filter_language(ranked: DataFrame, docs: DataFrame, language: str, min_keep: int = 5) -> DataFrame:
     """Documents of a language, for queries with at least min_keep of them; other queries keep all."""
     known = ranked.join(docs.select("doc_id", "language"), "doc_id", "left")

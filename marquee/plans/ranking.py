@@ -39,7 +39,7 @@ def shows(d):
 
 def trained(d):
     table = L.ltr_features(cands(d), d.search_queries, d.corpus).join(d.qrels, ["query_id", "doc_id"], "left").fillna(0, ["relevance"]).withColumn("relevance", F.col("relevance").cast("double"))
-    return L.rerank_ltr(table, L.train_ranker(table, FEATURES, iters=3, depth=3))
+    return L.rerank_ltr(table, L.train_ranker(table, FEATURES, iters=20, depth=5))
 
 
 def vectors(d):
@@ -114,7 +114,7 @@ QUERIES = {
     "l05_train_and_rerank": (trained, None),
     "l07_calibrate_platt": (lambda d: L.calibrate_platt(d.impression_log.select("event_id", "score", F.col("watched").cast("double").alias("y")), "score", "y"), None),
     "l08_calibrate_isotonic": (lambda d: L.calibrate_isotonic(d.impression_log.select("event_id", "score", F.col("watched").cast("double").alias("y")), "score", "y"), None),
-    "l15_als_factors": (lambda d: L.als_factors(d.ratings, rank=8, iters=2).itemFactors, None),
+    "l15_als_factors": (lambda d: L.als_factors(d.ratings, rank=64, iters=30).itemFactors, None),
     "l18_tfidf": (lambda d: L.tfidf(d.corpus.select("doc_id", "text"))[0].select("doc_id", F.size(__import__("pyspark.ml.functions", fromlist=["x"]).vector_to_array("tfidf")).alias("n")), None),
-    "l20_cluster": (lambda d: L.cluster(vectors(d), [3, 5])[0], None),
+    "l20_cluster": (lambda d: L.cluster(vectors(d), [3, 4, 5, 6, 7, 8])[0], None),
 }

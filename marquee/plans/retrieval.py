@@ -56,6 +56,8 @@ row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id)
 HYBRID = f"""hy AS (SELECT query_id, doc_id, sum(s) AS score FROM (
   SELECT query_id, doc_id, 0.5 * ({NORM}) AS s FROM bm WINDOW q AS (PARTITION BY query_id) UNION ALL SELECT query_id, doc_id, 0.5 * ({NORM}) FROM ti WINDOW q AS (PARTITION BY query_id)) GROUP BY 1, 2)"""
 
+#: Alphas of the sweep.
+GRID = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
 
 QUERIES = {
     "r01_index_terms": (lambda d: R.build_index(d.corpus).terms, f"WITH {INDEX[1:]} SELECT term, df, idf FROM terms"),
@@ -86,6 +88,16 @@ QUERIES = {
         UNION ALL SELECT query_id, doc_id, 0, {NORM} FROM ti WINDOW q AS (PARTITION BY query_id)) GROUP BY 1, 2)
         SELECT alpha, count(*) AS n, round(avg((1 - alpha) * b + alpha * t), 6) AS mean_score FROM x, (SELECT unnest([0.2::DOUBLE, 0.5, 0.8]) AS alpha) GROUP BY alpha""",
     ),
+    "r10_pick_alpha": (
+        lambda d: R.pick_alpha(R.sweep_alpha(bm25(d), title(d), GRID), d.qrels),
+        f"""WITH {BM25[1:]}{TITLE}, x AS (SELECT query_id, doc_id, sum(b) AS b, sum(t) AS t FROM (SELECT query_id, doc_id, {NORM} AS b, 0 AS t FROM bm WINDOW q AS (PARTITION BY query_id)
+        UNION ALL SELECT query_id, doc_id, 0, {NORM} FROM ti WINDOW q AS (PARTITION BY query_id)) GROUP BY 1, 2), al AS (SELECT unnest([{', '.join(f'{a}::DOUBLE' for a in GRID)}]) AS alpha),
+        rk AS (SELECT alpha, query_id, doc_id, row_number() OVER (PARTITION BY alpha, query_id ORDER BY (1 - alpha) * b + alpha * t DESC, doc_id) AS rank FROM x, al),
+        ideal AS (SELECT query_id, sum((pow(2, relevance) - 1) / log2(p + 1)) AS ideal FROM (SELECT query_id, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id) AS p FROM qrels) WHERE p <= 10 GROUP BY 1),
+        got AS (SELECT alpha, query_id, sum((pow(2, relevance) - 1) / log2(rank + 1)) AS dcg FROM rk JOIN qrels USING (query_id, doc_id) WHERE rank <= 10 GROUP BY 1, 2),
+        m AS (SELECT alpha, avg(coalesce(dcg, 0) / ideal) AS ndcg FROM al CROSS JOIN ideal LEFT JOIN got USING (alpha, query_id) WHERE ideal > 0 GROUP BY 1)
+        SELECT alpha, ndcg, row_number() OVER (ORDER BY round(ndcg, 9) DESC, alpha) = 1 AS best FROM m""",
+    ),
     "r11_context_bias": (
         lambda d: shown(R.context_bias(bm25(d), d.corpus)),
         f"""WITH {BM25[1:]} SELECT query_id, doc_id, round(score - least(length(text) / 2000.0::DOUBLE, 1) * 0.05 - least(length(title) / 80.0::DOUBLE, 1) * 0.03, 6) AS score FROM bm JOIN corpus USING (doc_id)""",
@@ -95,9 +107,9 @@ QUERIES = {
         f"""WITH {BM25[1:]}{TITLE} SELECT query_id, doc_id, round(score * CASE WHEN (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM ti WHERE rank <= 5) THEN 1.15 ELSE 1 END, 6) AS score FROM bm""",
     ),
     "r13_splice": (
-        lambda d: R.splice(title(d).where("rank <= 3"), bm25(d)).groupBy("query_id", "tier").agg(F.count("*").alias("n")),
-        f"""WITH {BM25[1:]}{TITLE} SELECT query_id, CAST(tier AS INT) AS tier, count(*) AS n FROM (SELECT query_id, doc_id, 0 AS tier FROM ti WHERE rank <= 3 UNION ALL
-        SELECT query_id, doc_id, 1 FROM bm WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM ti WHERE rank <= 3)) GROUP BY 1, 2""",
+        lambda d: R.splice(title(d).where("rank <= 3"), bm25(d)).select("query_id", "doc_id", "tier"),
+        f"""WITH {BM25[1:]}{TITLE} SELECT query_id, doc_id, CAST(tier AS INT) AS tier FROM (SELECT query_id, doc_id, 0 AS tier FROM ti WHERE rank <= 3 UNION ALL
+        SELECT query_id, doc_id, 1 FROM bm WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM ti WHERE rank <= 3))""",
     ),
     "r18_rerank_by_vector": (
         lambda d: shown(R.rerank_by_vector(R.dense_search(d.query_vectors, vectors(d), K), d.query_vectors, vectors(d))),
@@ -128,8 +140,8 @@ QUERIES = {
         FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 10""",
     ),
     "p07_filter_language": (
-        lambda d: R.filter_language(bm25(d), d.corpus, "en", 5).groupBy("query_id").agg(F.count("*").alias("n")),
-        f"WITH {BM25[1:]} SELECT query_id, count(*) AS n FROM (SELECT query_id, language, count(*) FILTER (language = 'en') OVER (PARTITION BY query_id) AS c FROM bm JOIN corpus USING (doc_id)) WHERE language = 'en' OR c < 5 GROUP BY 1",
+        lambda d: R.filter_language(bm25(d), d.corpus, "en", 5).select("query_id", "doc_id"),
+        f"WITH {BM25[1:]} SELECT query_id, doc_id FROM (SELECT query_id, doc_id, language, count(*) FILTER (language = 'en') OVER (PARTITION BY query_id) AS c FROM bm JOIN corpus USING (doc_id)) WHERE language = 'en' OR c < 5",
     ),
     "p08_suggest": (
         lambda d: R.suggest(d.items.select(F.split("title", " ")[0].alias("prefix")).distinct(), d.items),

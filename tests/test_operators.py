@@ -132,3 +132,12 @@ def test_softmax_sums_to_one(spark, scores):
 def test_rank_agreement_is_symmetric(spark, a, b):
     x, y = ranking(spark, a), ranking(spark, b)
     assert one(M.rank_agreement(x, y), "tau") == one(M.rank_agreement(y, x), "tau")
+
+
+def test_the_alpha_with_the_highest_ndcg_is_picked(spark):
+    bm25 = spark.createDataFrame([(1, 1, 9.0, 1), (1, 2, 1.0, 2), (2, 5, 3.0, 1), (2, 6, 1.0, 2)], RANKED)
+    dense = spark.createDataFrame([(1, 2, 9.0, 1), (1, 1, 1.0, 2), (2, 6, 3.0, 1), (2, 5, 1.0, 2)], RANKED)
+    qrels = spark.createDataFrame([(1, 2, 1), (2, 6, 1), (3, 9, 1)], QRELS)
+    got = {r.alpha: r for r in R.pick_alpha(R.sweep_alpha(bm25, dense, [0.2, 0.7, 0.8]), qrels).collect()}
+    assert [a for a, r in got.items() if r.best] == [0.7]
+    assert math.isclose(got[0.7].ndcg, 2 / 3) and math.isclose(got[0.2].ndcg, 2 / math.log2(3) / 3)
