@@ -72,13 +72,21 @@ RUNS = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
 ALPHABETS = [("d", re.compile(r"[0-9]+")), ("a", re.compile(r"[a-z]+")), ("A", re.compile(r"[A-Z]+")), ("h", re.compile(r"[0-9a-f]+")), ("H", re.compile(r"[0-9A-F]+")), ("l", re.compile(r"[0-9a-z]+")), ("U", re.compile(r"[0-9A-Z]+")), ("m", re.compile(r"[A-Za-z]+")), ("x", re.compile(r"[0-9A-Za-z]+"))]
 
 
+def _length(n: int) -> str:
+    """A run's length as a symbol: itself up to 16, beyond that its half octave (16 to 23, 24 to 31, 32 to 47, ...)."""
+    if n <= 16:
+        return str(n)
+    low = 1 << (n.bit_length() - 1)
+    return f"{low + low // 2 if n >= low + low // 2 else low}+"
+
+
 def shape(value: str) -> tuple[str, ...]:
-    """The runs of the value: alphabet, then length (beyond 64 the power of two below), or the sign between them."""
+    """The runs of the value: alphabet, then length, or the sign between them."""
     out = []
     for run in RUNS.findall(value):
         if run.isalnum() and run.isascii():
             n = len(run)
-            out += [next(name for name, all_of in ALPHABETS if all_of.fullmatch(run)), str(n if n <= 64 else 1 << (n.bit_length() - 1))]
+            out += [next(name for name, all_of in ALPHABETS if all_of.fullmatch(run)), _length(n)]
         else:
             out.append(run)
     return tuple(out)
