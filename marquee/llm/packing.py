@@ -3,12 +3,15 @@
 A document's ids, then id 0, make one piece, or several of exactly `capacity` behind a possibly shorter first one. Only
 the histogram of piece lengths, at most `capacity` numbers, reaches the driver. There the linear program "cover every
 length's count by configurations (how many pieces of which lengths share a sequence), using as few as possible" is
-solved by multiplicative weights: a length's price falls exponentially with the share of its count that the fractional
-solution covers, a knapsack dynamic program finds the best-priced configurations, and their fractional amounts grow by
-small steps. Prices also give a lower bound (a feasible dual). The solution is then rounded down, and what is left of
-the histogram goes by best fit decreasing; the rounding that takes fewest sequences counts, and rounding everything to
-zero is one of those tried, so the result never has more sequences than best fit decreasing. Each piece then finds its
-place from its rank among the pieces of its length.
+solved by multiplicative weights on both sides: a length's price rises by a factor where the configurations in use fall
+short of its count and falls where they exceed it, and a configuration's amount rises by a factor where its pieces'
+prices come to more than one sequence and falls where they come to less. A knapsack dynamic program over the prices finds
+the configurations to add, and its best value makes the prices a lower bound (a feasible dual). Steps end when the
+amounts, which cover every length's count, are within GAP of that bound. Amounts are then rounded to whole ones in the
+order of their configurations, so that what one rounds down its neighbours make up for, and what is left of the
+histogram goes by best fit decreasing; the rounding that takes fewest sequences counts, and rounding everything to zero
+is one of those tried, so the result never has more sequences than best fit decreasing. Each piece then finds its place
+from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -32,12 +35,16 @@ CAPACITY = 2048
 TABLE = 300_000
 #: Ranks within a length are counted in parts of about so many pieces, so that no length lands in one task.
 PART_ROWS = 100_000
-#: Steps of the multiplicative weights, the share of the bound that each adds at most, how fast prices react, and how far below the best price a used configuration may be.
-ROUNDS, STEP, ETA, SLACK = 160, 1 / 32, 2.0, 0.02
-#: Share of the lengths, another one in each step, that sequences may be filled with, so that no few lengths fill them all.
-FILLERS = 0.2
-#: Configurations that the rounded solution keeps at most, those used most; the rest of the solution goes by best fit.
-KEPT = 20_000
+#: The multiplicative weights end when cover and lower bound are this near to each other, at the latest after so many calls of the knapsack.
+GAP, ROUNDS = 0.003, 300
+#: Steps of prices and amounts between two calls, how strongly both react (their product must stay below 1), and the factor's logarithm at most.
+STEPS, REACT, LIMIT = 60, 0.7, 0.3
+#: A configuration is added when its pieces' prices come to nearly as much as the best one's, at first with this share of its length's count.
+SLACK, ADDED = 0.02, 0.002
+#: Configurations with less than this share of the mean amount are taken for out of use.
+UNUSED = 1e-4
+#: Shares of the amounts that the roundings tried keep.
+PARTS = (1.0, 0.98, 0.95, 0.9, 0.7, 0.4, 0.0)
 #: The splitting expression of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -136,50 +143,96 @@ def _filled(room: int, took: np.ndarray, first: int = 0) -> Configuration:
     return tuple(sorted(found.items(), reverse=True))
 
 
+class _Columns:
+    """Configurations in use, in flat arrays (column, row of the length, pieces), and their amounts."""
+
+    def __init__(self, lengths: np.ndarray) -> None:
+        self.row = {int(x): i for i, x in enumerate(lengths)}
+        self.found: dict[Configuration, int] = {}
+        self.flat: list[tuple[int, int, int]] = []
+        self.amount = np.zeros(0)
+
+    def add(self, made: list[tuple[Configuration, float]]) -> None:
+        amounts = []
+        for configuration, amount in made:
+            if configuration not in self.found:
+                self.found[configuration] = len(self.found)
+                self.flat += [(len(self.found) - 1, self.row[x], n) for x, n in configuration]
+                amounts.append(amount)
+        self.amount = np.concatenate([self.amount, amounts])
+
+    def drop_below(self, least: float) -> None:
+        kept = np.flatnonzero(self.amount >= least)
+        number = {int(old): new for new, old in enumerate(kept)}
+        self.found = {c: number[k] for c, k in self.found.items() if k in number}
+        self.flat = [(number[k], row, n) for k, row, n in self.flat if k in number]
+        self.amount = self.amount[kept]
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        column, row, n = np.array(self.flat, np.int64).T
+        return column, row, n.astype(float)
+
+
+def _merged(configuration: Configuration) -> Configuration:
+    total: dict[int, int] = {}
+    for length, n in configuration:
+        total[length] = total.get(length, 0) + n
+    return tuple(sorted(total.items(), reverse=True))
+
+
 def solve(count: np.ndarray, capacity: int = CAPACITY) -> tuple[dict[Configuration, float], float]:
     """(fractional configurations, lower bound) of the linear program for count[length] pieces of each length.
 
-    The amounts cover all pieces' tokens once; some lengths more often and some less than their count. The bound is on
-    the program's optimum, and so on the sequences of any packing.
+    The amounts cover each length's count. The bound is on the program's optimum, and so on the sequences of any packing.
     """
     lengths = np.flatnonzero(count)
-    size = np.arange(capacity + 1) / capacity
-    tokens = bound = float(count @ size)
-    amounts: dict[Configuration, float] = {}
-    covered, share = np.zeros(capacity + 1), np.zeros(len(lengths))
-    draw = np.random.default_rng(capacity)
-    for step in range(ROUNDS if len(lengths) else 0):
-        # a price falls with the share that is covered, against the mean of all
-        price = np.zeros(capacity + 1)
-        price[lengths] = size[lengths] * np.exp((ETA * (1 - share / max(share.mean(), 1e-12))).clip(-3, 1))
-        if step % 8 == 0:
-            best, _ = knapsack(price, capacity)
-            most = best[capacity]
-            bound = max(bound, float(count @ price) / most)
-        best, took = knapsack(price * (draw.random(capacity + 1) < FILLERS), capacity)
-        # the best configuration that holds each length, where it is nearly the best of all
-        value = price[lengths] + best[capacity - lengths]
-        most = max(most, float(value.max()))
-        anchors = np.flatnonzero(value >= (1 - SLACK) * most)
-        anchors = anchors if len(anchors) else np.array([int(value.argmax())])
-        found = [_filled(capacity - int(x), took, int(x)) for x in lengths[anchors]]
-        wish = (count * price)[lengths[anchors]]
-        wish *= STEP * bound / wish.sum()
-        use = np.zeros(capacity + 1)
-        for configuration, w in zip(found, wish):
-            for length, n in configuration:
-                use[length] += n * w
-        # no length is covered by more than a few steps at once
-        brake = np.ones(capacity + 1)
-        brake[lengths] = np.minimum(1, 4 * STEP * count[lengths] / np.maximum(use[lengths], 1e-12))
-        for configuration, w in zip(found, wish):
-            w *= min(brake[length] for length, _ in configuration)
-            amounts[configuration] = amounts.get(configuration, 0.0) + w
-            for length, n in configuration:
-                covered[length] += n * w
-        share = covered[lengths] / count[lengths]
-    scale = tokens / max(float(covered @ size), 1e-12)
-    return {c: w * scale for c, w in amounts.items()}, bound
+    if not len(lengths):
+        return {}, 0.0
+    need, single = count[lengths].astype(float), capacity // lengths
+    columns = _Columns(lengths)
+    columns.add([(_merged(c), float(times)) for c, times in best_fit(count, capacity)])
+    columns.add([(((int(x), int(n)),), ADDED * c) for x, n, c in zip(lengths, single, need)])
+    bound, cover, result = 0.0, np.inf, {}
+    price = mean = lengths / capacity
+    starts = [price] + [(2 * lengths > capacity).astype(float)] * bool(2 * lengths[-1] > capacity)
+    for turn in range(ROUNDS):
+        column, row, n = columns.arrays()
+        amount, k, m = columns.amount, len(columns.amount), len(lengths)
+        made = before = np.bincount(row, n * amount[column], m)
+        amounts, prices, dearest = np.zeros(k), np.zeros(m), 1.0
+        for _ in range(STEPS):
+            price = price * np.exp((REACT / dearest * (need - 2 * made + before) / np.maximum(made, need)).clip(-LIMIT, LIMIT))
+            worth = np.bincount(column, n * price[row], k)
+            dearest = max(1.0, float(worth.max()))
+            amount = amount * np.exp((REACT * (worth - 1)).clip(-LIMIT, LIMIT))
+            before, made = made, np.bincount(row, n * amount[column], m)
+            amounts, prices = amounts + amount, prices + price
+        amount, price = amounts / STEPS, prices / STEPS
+        # a longer piece is never worth less, so prices that say so are noise
+        price = (np.maximum.accumulate(price) + np.minimum.accumulate(price[::-1])[::-1]) / 2
+        mean = mean + (price - mean) * (1.0 if turn < 5 else 0.1)
+        for tried in (*starts, mean, price):
+            by_length = np.zeros(capacity + 1)
+            by_length[lengths] = tried
+            best, took = knapsack(by_length, capacity)
+            bound = max(bound, float(need @ tried) / best[capacity])
+        starts = []
+        short = np.maximum(0, need - np.bincount(row, n * amount[column], m)) / single
+        columns.amount = amount
+        if amount.sum() + short.sum() < cover:
+            cover = float(amount.sum() + short.sum())
+            result = {c: float(a) for c, a in zip(columns.found, amount) if a > 0}
+            for x, each, a in zip(lengths[short > 0], single[short > 0], short[short > 0]):
+                alone = ((int(x), int(each)),)
+                result[alone] = result.get(alone, 0.0) + float(a)
+        if cover <= (1 + GAP) * bound:
+            break
+        value = (price + best[capacity - lengths]) / best[capacity]
+        price = price / best[capacity]
+        if turn % 10 == 9:  # those out of use are found again when prices ask for them
+            columns.drop_below(UNUSED * float(amount.sum()) / k)
+        columns.add([(_filled(capacity - int(lengths[i]), took, int(lengths[i])), ADDED * need[i]) for i in np.flatnonzero(value > 1 - SLACK)])
+    return result, bound
 
 
 def best_fit(left: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Configuration, int]]:
@@ -214,10 +267,15 @@ def best_fit(left: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Configura
 
 
 def _rounded(amounts: dict[Configuration, float], count: np.ndarray, part: float, capacity: int) -> list[tuple[Configuration, int]]:
-    """Whole times of the configurations, `part` of their amounts rounded down and never beyond what is left; best fit for the rest."""
-    left, plan = count.copy(), []
-    for configuration, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0]))[:KEPT] if part else ():
-        times = min([int(amount * part), *(int(left[length]) // n for length, n in configuration)])
+    """Whole times of the configurations, never beyond what is left; best fit for the rest.
+
+    `part` of the amounts is summed up in the order of the configurations, and each gets the whole sequences that the sum passes with it.
+    """
+    left, plan, passed = count.copy(), [], 0.0
+    for configuration, amount in sorted(amounts.items(), reverse=True) if part else ():
+        passed += amount * part
+        times = min([int(passed), *(int(left[length]) // n for length, n in configuration)])
+        passed -= int(passed)
         if times:
             plan.append((configuration, times))
             for length, n in configuration:
@@ -232,7 +290,7 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple
         count[length] = n
     whole, count[capacity] = int(count[capacity]), 0
     amounts, bound = solve(count, capacity)
-    plans = [_rounded(amounts, count, part, capacity) for part in (1.0, 0.5, 0.0)]
+    plans = [_rounded(amounts, count, part, capacity) for part in PARTS]
     plan = min(plans, key=lambda p: sum(times for _, times in p))
     return [(((capacity, 1),), whole)] * (whole > 0) + plan, whole + int(np.ceil(bound - 1e-6))
 
@@ -256,8 +314,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
 
     path: the vocabulary file; by default the public byte-level one. Null and empty texts are one piece of one id;
-    repeated rows are packed each; an empty table gives an empty result. The plan that tasks hold has KEPT configurations
-    and those of best_fit(), which depend on the lengths that occur, not on the number of documents.
+    repeated rows are packed each; an empty table gives an empty result. The plan that tasks hold has the rounded
+    configurations and those of best_fit(), which depend on the lengths that occur, not on the number of documents.
     """
     if path is None:
         import public_tokenizers

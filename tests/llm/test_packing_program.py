@@ -33,6 +33,28 @@ def test_program(n, mean, spread):
     assert -(-int(lengths.sum()) // 2048) <= bound <= made <= plain_best_fit(lengths.tolist(), 2048)
 
 
+@pytest.mark.parametrize("n, mean, spread", [(700, 4, 2), (5000, 6, 1), (5000, 7.2, 0.2), (200_000, 6.8, 0.3)])
+def test_cover_meets_its_bound(n, mean, spread):
+    lengths = np.clip(np.random.default_rng(1).lognormal(mean, spread, n).astype(int), 1, 2048)
+    count = np.bincount(lengths, minlength=2049)
+    amounts, bound = packing.solve(count)
+    covered = np.zeros(2049)
+    for configuration, amount in amounts.items():
+        assert amount > 0 and sum(x * k for x, k in configuration) <= 2048
+        for x, k in configuration:
+            covered[x] += k * amount
+    assert (covered >= count * (1 - 1e-9)).all()
+    assert max(lengths.sum() / 2048, (lengths > 1024).sum()) <= bound + 1e-6
+    assert bound <= sum(amounts.values()) <= (1 + packing.GAP) * bound
+
+
+def test_program_saves_sequences_over_best_fit():
+    lengths = np.clip(np.random.default_rng(1).lognormal(6.8, 0.3, 5000).astype(int), 1, 2048)
+    plan, bound = packing.configurations(dict(zip(*(a.tolist() for a in np.unique(lengths, return_counts=True)))))
+    made = sum(times for _, times in plan)
+    assert bound <= made <= 1.01 * bound and made < 0.995 * plain_best_fit(lengths.tolist(), 2048)
+
+
 def test_program_beats_best_fit_where_it_is_wrong():
     # best fit puts the 7s together; 7 + 3 and 4 + 4 + 2 leave nothing
     plan, bound = packing.configurations({7: 40, 3: 40, 4: 40, 2: 20}, 10)
