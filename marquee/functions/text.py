@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def tokens(text: Column, mode: str = "alnum") -> Column:
@@ -19,6 +23,18 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9\s\-'.]", " "), r"\s+", " "))
 
 
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """Unicode's compatibility composition, which Spark has no function for."""
+    return text.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+
+def normalise_unicode(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with `normalised`: normalise() of the text after compatibility composition. Texts of ASCII alone, which that leaves as they are, and nulls stay in the JVM."""
+    odd = F.coalesce(F.col(text).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    return df.where(~odd).withColumn("normalised", normalise(F.col(text))).unionByName(df.where(odd).withColumn("normalised", normalise(nfkc(F.col(text)))))
+
+
 def title_key(title: Column) -> Column:
     return F.regexp_replace(F.lower(title), "[^a-z0-9]", "")
 

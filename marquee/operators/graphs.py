@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import text as X
+from marquee.operators.relational import substring_pairs
 
 
 def cap_groups(df: DataFrame, by: str, n: int, tie: str = "doc_id") -> DataFrame:
@@ -71,5 +72,7 @@ def find_titles(titles: DataFrame, items: DataFrame) -> DataFrame:
     i = items.select("doc_id", X.title_key(F.col("title")).alias("item_key"))
     same = t.join(i, t["key"] == i["item_key"]).groupBy("title").agg(F.min("doc_id").alias("doc_id")).withColumn("match", F.lit("equal"))
     rest = t.join(same, "title", "left_anti")
-    inside = i.join(F.broadcast(rest), F.contains("item_key", "key") | F.contains("key", "item_key")).groupBy("title").agg(F.min("doc_id").alias("doc_id")).withColumn("match", F.lit("contains"))
+    within = substring_pairs(i, rest, "item_key", "key").select("doc_id", "key").join(rest, "key")
+    around = substring_pairs(rest, i.where("item_key <> ''"), "key", "item_key").join(i, "item_key")
+    inside = within.select("title", "doc_id").unionByName(around.select("title", "doc_id")).groupBy("title").agg(F.min("doc_id").alias("doc_id")).withColumn("match", F.lit("contains"))
     return same.unionByName(inside)

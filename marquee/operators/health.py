@@ -96,6 +96,20 @@ def alerts(series: DataFrame, ts: str, value: str, lag_hours: int = 1, max_drop:
     return series.withColumn("before", before).where(F.try_divide(F.col("before") - F.col(value), F.col("before")) > max_drop)
 
 
+def held_drop(series: DataFrame, by: str, ts: str, value: str, lag: int = 3600, hold: int = 300, max_drop: float = 0.05) -> DataFrame:
+    """Samples of each series that are more than max_drop under the latest sample at least `lag` seconds older; firing where all samples have been so for `hold` seconds.
+
+    A sample without an older one to compare with, or with one of zero, isn't low. Samples of one time count by their mean.
+    """
+    samples = series.groupBy(by, ts).agg(F.avg(value).alias(value)).withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
+    in_time = Window.partitionBy(by).orderBy("__us")
+    before = F.last(value).over(in_time.rangeBetween(Window.unboundedPreceding, -lag * 1_000_000))
+    compared = samples.withColumn("before", before).withColumn("__low", F.coalesce(F.try_divide(F.col("before") - F.col(value), F.col("before")) > max_drop, F.lit(False)))
+    runs = compared.withColumn("__run", F.count(F.when(~F.col("__low"), 1)).over(in_time.rangeBetween(Window.unboundedPreceding, Window.currentRow))).where("__low")
+    since = F.min("__us").over(Window.partitionBy(by, "__run"))
+    return runs.withColumn("firing", F.col("__us") - since >= hold * 1_000_000).drop("__us", "__low", "__run")
+
+
 def freshness(meta: DataFrame, as_of: str, half_life: float = 14.0, launch_hours: float = 72.0, live_boost: float = 5.0) -> DataFrame:
     """State, freshness and boosts of each item: live, launching, recent, catalogue, and expiring over all."""
     live = F.col("live_start_ts").isNotNull() & F.col("live_end_ts").isNotNull()

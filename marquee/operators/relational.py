@@ -73,6 +73,27 @@ def concat_tiers(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def ordered_distinct(df: DataFrame, by: str, order: list[str], column: str) -> DataFrame:
+    """(by, column, place): each group's distinct values of the column in the order of their first rows, numbered from 1; nulls are no values."""
+    first = df.where(F.col(column).isNotNull()).groupBy(by, column).agg(F.min(F.struct(*order)).alias("first"))
+    return first.select(by, column, F.row_number().over(Window.partitionBy(by).orderBy("first", column)).alias("place"))
+
+
+def substring_pairs(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle") -> DataFrame:
+    """Each row of texts beside each different needle that its text contains; an empty needle stands in every text.
+
+    A needle is looked up by the one of its runs of three characters (shorter ones: by itself) that fewest texts have, so only texts that have that run are searched.
+    """
+    asked = needles.select(needle).where(F.col(needle).isNotNull()).distinct()
+    runs = f"transform(sequence(1, greatest(char_length({needle}) - least(3, char_length({needle})) + 1, 1)), i -> substring({needle}, i, least(3, char_length({needle}))))"
+    wanted = asked.select(needle, F.explode(F.array_distinct(F.expr(runs))).alias("__run"))
+    every = f"array_distinct(flatten(transform(array(0, 1, 2, 3), k -> transform(sequence(1, greatest(char_length({text}) - k + 1, 1)), i -> substring({text}, i, k)))))"
+    held = texts.where(F.col(text).isNotNull()).select("*", F.explode(F.expr(every)).alias("__run")).join(wanted.select("__run").distinct(), "__run", "left_semi")
+    n = held.groupBy("__run").agg(F.count("*").alias("n"))
+    rarest = wanted.join(n, "__run", "left").groupBy(needle).agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "__run"))["__run"].alias("__run"))
+    return held.join(rarest, "__run").where(F.contains(text, needle)).drop("__run")
+
+
 def parse_catalog(df: DataFrame, column: str = "text") -> DataFrame:
     """Text of the form "Key: value | Key: value" to a map of lower-cased keys; of repeated keys the last counts."""
     parts = F.filter(F.transform(F.split(column, r"\|"), F.trim), lambda p: F.instr(p, ":") > 0)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import text as X
+from marquee.operators.relational import substring_pairs
 
 
 def topk(df: DataFrame, k: int | None = None, by: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -255,7 +256,8 @@ def context_bias(ranked: DataFrame, corpus: DataFrame, device: str = "mobile", n
 
 def suggest(prefixes: DataFrame, corpus: DataFrame, n: int = 5) -> DataFrame:
     """First n documents (by doc_id) whose title contains each prefix, without regard to case."""
-    hit = corpus.select("doc_id", "title").join(F.broadcast(prefixes), F.contains(F.lower("title"), F.lower("prefix")))
+    low = prefixes.select("prefix", F.lower("prefix").alias("needle"))
+    hit = substring_pairs(corpus.select("doc_id", "title", F.lower("title").alias("low")), low, "low").join(low.distinct(), "needle")
     order = Window.partitionBy("prefix").orderBy("doc_id")
     return hit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("prefix", "doc_id", "title", "rank")
 

@@ -85,6 +85,13 @@ QUERIES = {
         lambda d: rounded(V.alerts(d.shadow_observations, "observed_at", "production_value", 1, 0.05).select("observed_at", "production_value", "before"), "production_value", "before"),
         "SELECT observed_at, round(production_value, 6) AS production_value, round(b, 6) AS before FROM (SELECT *, lag(production_value) OVER (ORDER BY observed_at) AS b FROM shadow_observations) WHERE (b - production_value) / b > 0.05",
     ),
+    "w11_held_drop": (
+        lambda d: rounded(V.held_drop(d.events.select("event_type", F.date_trunc("minute", "ts").alias("observed_at"), "value"), "event_type", "observed_at", "value"), "value", "before").withColumn("observed_at", F.col("observed_at").cast("string")),
+        """WITH s AS (SELECT event_type, date_trunc('minute', ts) AS m, avg(value) AS v FROM events GROUP BY 1, 2),
+        b AS (SELECT *, last_value(v) OVER (PARTITION BY event_type ORDER BY m RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS before FROM s),
+        f AS (SELECT *, coalesce((before - v) / before > 0.05, false) AS low FROM b), g AS (SELECT *, count(*) FILTER (NOT low) OVER (PARTITION BY event_type ORDER BY m) AS run FROM f)
+        SELECT event_type, strftime(m, '%Y-%m-%d %H:%M:%S') AS observed_at, round(v, 6) AS value, round(before, 6) AS before, m - min(m) OVER (PARTITION BY event_type, run) >= INTERVAL 5 MINUTE AS firing FROM g WHERE low""",
+    ),
     "v13_service_metrics": (
         lambda d: V.service_metrics(d.recommendations, "served_at", "method"),
         "SELECT date_trunc('hour', served_at) AS window_start, method, count(*) AS requests, count(*) FILTER (cache_hit) AS hits, round(avg(latency_ms), 6) AS latency_ms FROM recommendations GROUP BY 1, 2",

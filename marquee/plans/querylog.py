@@ -53,6 +53,13 @@ def joined(df, *columns):
     return df.select(*(F.array_join(c, "|").alias(c) if c in columns else c for c in df.columns))
 
 
+INTENT = f"""CASE WHEN {ANY(N.SIMILAR)} THEN 'similarity' WHEN query_id % 6 = 1 THEN 'person' ELSE 'other' END"""
+PERSON = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '(?i)\\b{t}\\s+((?-i:[A-Z])\\S*(?:\\s+(?-i:[A-Z])\\S*){{0,2}})', 1), '')" for t in N.PEOPLE) + ", '')"
+EXPANDED = ", ".join(f"CASE WHEN contains(lower(text), '{t}') THEN text || ' {' '.join(e)}' END" for t, e in N.EXPANSIONS.items())
+REWRITES = f"""WITH lg AS ({LOG}), i AS (SELECT *, {INTENT} AS intent, trim(regexp_replace(lower(text), '.*({'|'.join(N.SIMILAR)})\\s*', '')) AS base, {PERSON} AS who FROM lg),
+r AS (SELECT *, list_slice(list_filter([{EXPANDED}, CASE WHEN intent = 'similarity' AND base <> '' THEN base END, CASE WHEN intent = 'person' THEN 'movies starring ' || who END], lambda x: x IS NOT NULL), 1, 4) AS found FROM i)
+SELECT query_id, CASE WHEN len(found) > 0 THEN array_to_string(found, '|') ELSE text END AS rewrites FROM r"""
+
 QUERIES = {
     "n01_correct_spelling": (lambda d: N.correct_spelling(log(d)), f"WITH {CORRECT} SELECT * FROM co"),
     "n02_recognise_entities": (lambda d: N.recognise_entities(log(d)), f"WITH lg AS ({LOG}), {ENTITIES} SELECT * FROM en"),
@@ -61,7 +68,7 @@ QUERIES = {
         f"""WITH lg AS ({LOG}) SELECT query_id, CASE WHEN {ANY(N.SIMILAR)} THEN 'similarity' WHEN query_id % 6 = 1 THEN 'person' WHEN {ANY(N.EXPLORE)} THEN 'exploratory' WHEN {ANY(N.BUY)} THEN 'transactional'
         WHEN {WORDS} <= 4 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '^[A-Z]'))) >= {WORDS} - 1 THEN 'navigational' ELSE 'unknown' END AS intent FROM lg""",
     ),
-    "n04_rewrite_queries": (lambda d: N.rewrite_queries(N.classify_intent(log(d))), None),
+    "n04_rewrite_queries": (lambda d: N.rewrite_queries(N.classify_intent(log(d))), REWRITES),
     "n05_query_filters": (
         lambda d: N.query_filters(N.recognise_entities(log(d)), N.correct_spelling(log(d))).withColumns({c: F.col(c).cast("double") for c in ("year_min", "year_max")}),
         f"""WITH {CORRECT}, {ENTITIES} SELECT query_id, CAST(nullif(split_part(years, ',', 1), '') AS DOUBLE) - 1 AS year_min, CAST(nullif(split_part(years, ',', 1), '') AS DOUBLE) + 1 AS year_max, nullif(split_part(genres, ',', 1), '') AS genre,

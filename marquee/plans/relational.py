@@ -56,6 +56,10 @@ QUERIES = {
     "w05_last_n": (lambda d: last_n(d.events, "user_id", "ts", 3, "event_id").select("user_id", "event_id"), "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 3"),
     "u02_overlap_at_k": (lambda d: overlap_at_k(d.ranked_a, d.ranked_b, 20), "SELECT query_id, count(*) AS overlap FROM ranked_a a JOIN ranked_b b USING (query_id, doc_id) WHERE a.rank <= 20 AND b.rank <= 20 GROUP BY 1"),
     "u04_concat_tiers": (lambda d: J.concat_tiers(d.ranked_a.where("rank <= 2").select("query_id", "doc_id"), d.ranked_b.where("rank <= 3").select("query_id", "doc_id")), "SELECT query_id, doc_id, 0::INT AS tier FROM ranked_a WHERE rank <= 2 UNION ALL SELECT query_id, doc_id, 1::INT FROM ranked_b WHERE rank <= 3"),
+    "u05_ordered_distinct": (
+        lambda d: J.ordered_distinct(d.watch_events, "user_id", ["occurred_at", "event_id"], "doc_id"),
+        "SELECT user_id, doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY min((occurred_at, event_id))) AS INT) AS place FROM watch_events WHERE doc_id IS NOT NULL GROUP BY 1, 2",
+    ),
     "u06_overlap_keys": (
         lambda d: split_integrity(d.watch_events.where("event_type = 'click'"), d.watch_events.where("event_type = 'skip'"), "user_id"),
         "SELECT count(DISTINCT user_id) FILTER (event_type = 'click') AS n_train, count(DISTINCT user_id) FILTER (event_type = 'skip') AS n_test, (SELECT count(*) FROM (SELECT user_id FROM watch_events WHERE event_type = 'click' INTERSECT SELECT user_id FROM watch_events WHERE event_type = 'skip')) AS n_overlap FROM watch_events",
@@ -86,6 +90,10 @@ QUERIES = {
         """WITH t AS (SELECT doc_id, tag, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, tag) AS r FROM (SELECT doc_id, unnest(string_split(tags, ',')) AS tag FROM items) GROUP BY 1, 2),
         x AS (SELECT doc_id, string_agg(tag, ',' ORDER BY r) AS tags FROM t WHERE r <= 2 GROUP BY 1) SELECT i.doc_id, title, concat_ws(' | ', 'Title: ' || title, 'Genres: ' || replace(genres, '|', ','), 'Tags: ' || x.tags) AS text FROM items i LEFT JOIN x ON i.doc_id = x.doc_id""",
     ),
+    "f02_normalise": (
+        lambda d: X.normalise_unicode(d.documents.select("doc_id", "text"), "text").select("doc_id", F.char_length("normalised").alias("n_chars"), F.md5("normalised").alias("normalised_md5")),
+        None,
+    ),
     "f03_edit_distance": (
         lambda d: d.items.select("doc_id", F.levenshtein(F.split("title", " ")[0], F.split("title", " ")[1]).alias("d")),
         "SELECT doc_id, CAST(levenshtein(split_part(title, ' ', 1), split_part(title, ' ', 2)) AS INT) AS d FROM items",

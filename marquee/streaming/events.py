@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Times in JSON keep their microseconds.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def read_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_a_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).format(fmt)
     return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).load(path)
@@ -15,18 +19,27 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 def read_topic(spark: SparkSession, servers: str, topic: str, schema: T.StructType) -> DataFrame:
     """JSON values of a Kafka topic as columns; needs Spark's Kafka package and a broker."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
-    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("v")).select("v.*")
+    return topic_values(raw, schema)
+
+
+def topic_values(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns of the JSON in `value`; what isn't an object of the schema gives nulls."""
+    return raw.select(F.from_json(F.col("value").cast("string"), schema, TIMES).alias("v")).select("v.*")
+
+
+def topic_rows(df: DataFrame, key: str) -> DataFrame:
+    """(key, value): rows as JSON, keyed by a column."""
+    return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*"), TIMES).alias("value"))
 
 
 def write_topic(sdf: DataFrame, servers: str, topic: str, key: str, checkpoint: str):
     """At-least-once JSON rows keyed by a column."""
-    rows = sdf.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
-    return rows.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
+    return topic_rows(sdf, key).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
 
 
 def append_log(sdf: DataFrame, path: str, checkpoint: str):
     """Append rows as JSON lines."""
-    return sdf.writeStream.format("json").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    return sdf.writeStream.format("json").options(**TIMES).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
 def with_event_time(sdf: DataFrame, ts: str, delay: str) -> DataFrame:
