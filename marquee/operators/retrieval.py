@@ -22,6 +22,10 @@ def topk(df: DataFrame, k: int | None = None, by: str = "query_id", score: str =
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+#: Stands for the document itself among its words; no tokenizer makes it.
+MARK = "\x00 document"
+
+
 @dataclass
 class Index:
     """postings(term, doc_id, tf), docs(doc_id, dl) and terms(term, df, idf); avgdl is a column of docs."""
@@ -64,12 +68,15 @@ def corpus_search(queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float
     """bm25_search() without a stored index: only the words that queries ask for leave the scan, so neither the other words nor texts are shuffled."""
     found = X.tokens(F.concat_ws(" ", *fields), tokenizer)
     words = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("__empty__")))
-    tokenised = corpus.select("doc_id", words.alias("words"))
     asked = queries.select("query_id", F.explode(X.tokens(F.col("text"), tokenizer)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    only = asked.select("term").distinct()
-    size = tokenised.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    df = tokenised.select(F.explode(F.array_distinct("words")).alias("term")).join(only, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    tf = tokenised.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(only, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    # one scan gives all: each document has one more word, MARK, whose rows are the corpus' size; the three uses of tf need the same columns of it, so its shuffle is reused
+    mark = queries.sparkSession.range(1).select(F.lit(MARK).alias("term"))
+    only = asked.select("term").distinct().union(mark)
+    tokenised = corpus.select("doc_id", words.alias("words")).select("doc_id", F.size("words").alias("dl"), F.explode(F.concat("words", F.array(F.lit(MARK)))).alias("term"))
+    tf = tokenised.where("term IS NOT NULL").join(only, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    marked = F.col("term") == MARK
+    size = tf.agg(F.sum(F.when(marked, F.col("tf"))).alias("n"), (F.sum(F.when(marked, F.col("dl") * F.col("tf"))) / F.sum(F.when(marked, F.col("tf")))).alias("avgdl"))
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     ratio = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     terms = asked.join(df, "term").crossJoin(F.broadcast(size)).select("query_id", "term", "qtf", F.log(1 + ratio).alias("idf"), "avgdl")
     denominator = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")) + 1e-12

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marquee.functions.text import normalise_unicode
 from marquee.operators.health import held_drop
 from marquee.operators.relational import ordered_distinct, substring_pairs
+from marquee.operators.retrieval import bm25_search, build_index, corpus_search
 from marquee.streaming import events as S
 
 WORDS = st.one_of(st.none(), st.text("abA .", max_size=7))
@@ -88,3 +89,15 @@ def test_appended_log_goes_on_after_a_restart(spark, tmp_path):
         S.append_log(S.read_files(spark, source, want.schema, files_a_batch=1), out, checkpoint).awaitTermination()
     back = spark.read.schema(want.schema).options(**S.TIMES).json(out)
     assert back.count() == want.count() and back.exceptAll(want).count() == 0
+
+
+def test_search_reads_the_corpus_once(spark):
+    corpus = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", F.lit("t").alias("title"), "text")
+    queries = corpus.orderBy("doc_id").limit(3).select(F.col("doc_id").alias("query_id"), F.lower(F.substring("text", 1, 30)).alias("text"))
+    asked = spark.createDataFrame(queries.collect(), queries.schema)
+    found = corpus_search(asked, corpus, 5)
+    place = lambda df: sorted((r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in df.collect())
+    assert place(found) == place(bm25_search(asked, build_index(corpus), 5))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1  # its shuffle is reused, as are those of the asked words
+    assert corpus_search(queries, corpus.limit(0), 5).count() == 0
