@@ -9,6 +9,10 @@ ARMS = """
 s AS (SELECT experiment, count(*) FILTER (arm = 'control') AS n_c, avg(reward) FILTER (arm = 'control') AS mean_c, var_samp(reward) FILTER (arm = 'control') AS var_c,
   count(*) FILTER (arm = 'treatment') AS n_t, avg(reward) FILTER (arm = 'treatment') AS mean_t, var_samp(reward) FILTER (arm = 'treatment') AS var_t FROM ab_observations GROUP BY 1),
 w AS (SELECT *, sqrt(var_c / n_c + var_t / n_t) AS se, pow(var_c / n_c + var_t / n_t, 2) / (pow(var_c / n_c, 2) / (n_c - 1) + pow(var_t / n_t, 2) / (n_t - 1)) AS df FROM s)"""
+#: The normal distribution's tails by the same five terms as functions.text.normal_cdf.
+VERDICTS = f"""WITH {ARMS[1:]}, z AS (SELECT *, (mean_t - mean_c) / se AS t, 1 / (1 + 0.3275911 * abs((mean_t - mean_c) / se) / sqrt(2)) AS k FROM w),
+p AS (SELECT *, k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429)))) * exp(-t * t / 2) AS p FROM z)
+SELECT experiment, round(p, 6) AS p, CASE WHEN p < 0.05 THEN CASE WHEN t > 0 THEN 'better' ELSE 'worse' END WHEN abs(mean_t - mean_c) < 2.8 * se THEN 'underpowered' ELSE 'no difference' END AS verdict FROM p"""
 UPLIFT = """
 u AS (SELECT doc_id, count(*) FILTER (shown) AS n_t, count(*) FILTER (NOT shown) AS n_c, avg(watched::INT) FILTER (shown) AS p_watch_shown, avg(watched::INT) FILTER (NOT shown) AS p_watch_not_shown,
   avg(CASE WHEN shown THEN watched::INT / propensity ELSE -(watched::INT) / (1 - least(propensity, 1 - 1e-6)) END) AS ipw FROM impression_log GROUP BY 1),
@@ -25,7 +29,7 @@ QUERIES = {
         f"""WITH {ARMS[1:]} SELECT experiment, n_c, n_t, round(mean_c, 6) AS mean_c, round(mean_t, 6) AS mean_t, round(se, 6) AS se, round(df, 6) AS df, round((mean_t - mean_c) / se, 6) AS t, round((mean_t - mean_c) / mean_c, 6) AS lift,
         round(mean_t - 1.96 * sqrt(var_t / n_t), 6) AS ci_low, round(mean_t + 1.96 * sqrt(var_t / n_t), 6) AS ci_high, round(2.8 * se, 6) AS mde FROM w""",
     ),
-    "c01_ab_verdicts": (lambda d: C.ab_test(d.ab_observations).select("experiment", F.round("p", 6).alias("p"), "verdict"), None),
+    "c01_ab_verdicts": (lambda d: C.ab_test(d.ab_observations).select("experiment", F.round("p", 6).alias("p"), "verdict"), VERDICTS),
     "c02_guarded_ab": (
         lambda d: C.guarded_ab(C.ab_test(d.ab_observations), d.ab_observations.groupBy("experiment").agg(F.avg("reward").alias("latency_ms"), F.lit(0.005).alias("error_rate"))).select("experiment", "latency_ok", "errors_ok", "n_ok", "lift_ok", "ship"),
         f"""WITH {ARMS[1:]}, g AS (SELECT experiment, avg(reward) AS latency_ms FROM ab_observations GROUP BY 1) SELECT experiment, latency_ms <= 300 AS latency_ok, true AS errors_ok, n_c >= 200 AND n_t >= 200 AS n_ok, mean_t > mean_c AS lift_ok,
