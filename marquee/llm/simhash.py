@@ -34,18 +34,21 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes (unsigned 64-bit); 0 without any."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str, n: int = SHINGLE) -> int:
     """SimHash over the XXH64 (seed 42) of each n-word shingle, repeats included; 0 for a text without words."""
     words = words_of(text)
     if not words:
         return 0
-    shingles = [b" ".join(words)] if len(words) < n else list(map(b" ".join, zip(*(words[i:] for i in range(n)))))
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(shingles), CHUNK):
-        part = shingles[at : at + CHUNK]
-        h = np.fromiter((digest(s, 42) for s in part), np.uint64, len(part))
-        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(shingles)).tobytes(), "big")
+    shingles = [b" ".join(words)] if len(words) < n else map(b" ".join, zip(*(words[i:] for i in range(n))))
+    return simhash(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64))
 
 
 def signed(x: int) -> int:
