@@ -40,6 +40,8 @@ ALLOWED = 0.01
 #: Bytes that a window must save to count.
 STEPS = (2, 4, 6, 8)
 FOLDS = 5
+#: Parts in which contexts are counted, a power of two.
+PARTS = 16
 LEVEL = 3
 #: The repeat offsets that every trained dictionary has right before its content.
 REPEATS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
@@ -101,20 +103,24 @@ def _strings(raw: bytes) -> np.ndarray:
 
 
 def _contexts(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each string of the texts, and in how many different contexts it stands."""
-    strings, places = [], []
-    for raw in raws:
+    """Each string of the texts, and in how many different contexts it stands; contexts are told apart a part of their hashes at a time, which takes less memory."""
+    sizes = [max(len(raw) - GRAM + 1, 0) for raw in raws]
+    strings, places = np.zeros(sum(sizes), np.uint64), np.zeros(sum(sizes), np.uint64)
+    at = 0
+    for raw, n in zip(raws, sizes):
         a = np.frombuffer(bytes(CONTEXT) + raw + bytes(CONTEXT), np.uint8).astype(np.uint64) + np.uint64(1)
-        own = _strings(raw)
-        h = np.zeros(len(own), np.uint64)
+        strings[at : at + n] = _strings(raw)
+        h = places[at : at + n]
         for k in range(GRAM + 2 * CONTEXT):
-            h = h * MIX ^ a[k : k + len(own)]
-        strings.append(own)
-        places.append(h)
-    if not strings:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    _, first = np.unique(np.concatenate(places), return_index=True)
-    return np.unique(np.concatenate(strings)[first], return_counts=True)
+            h *= MIX
+            h ^= a[k : k + n]
+        at += n
+    part, once = (places >> np.uint64(32)).astype(np.uint8) & PARTS - 1, []
+    for k in range(PARTS):
+        here = np.flatnonzero(part == k)
+        once.append(strings[here[np.unique(places[here], return_index=True)[1]]])
+    del strings, places, part
+    return np.unique(np.concatenate(once), return_counts=True)
 
 
 def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
