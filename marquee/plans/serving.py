@@ -183,7 +183,7 @@ QUERIES = {
         f"WITH sd AS (SELECT query_id, text || ' the' AS text FROM search_queries), {BM25[1:].replace('search_queries', 'sd')}, {CHANNEL.replace('search_queries', 'sd')}, {FUSED} {FIRST.format(5)}",
     ),
     "r25_three_way": (
-        lambda d: R.fuse({"text": bm25(d), "title": title(d), "dense": R.dense_search(S.hash_vectors(d.search_queries, "query_id", "text"), S.hash_vectors(d.corpus, "doc_id", "title"), K)}, {"text": 0.5, "title": 0.2, "dense": 0.3}).select("query_id", "doc_id", F.round("score", 6).alias("score")),
+        lambda d: R.fuse({"text": bm25(d), "title": title(d), "dense": S.hashed_search(d.search_queries, d.corpus, K)}, {"text": 0.5, "title": 0.2, "dense": 0.3}).select("query_id", "doc_id", F.round("score", 6).alias("score")),
         f"""WITH {BM25[1:]}{TITLE}, {CHANNEL} SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (SELECT query_id, doc_id, 0.5::DOUBLE * ({NORM}) AS s FROM bm WINDOW q AS (PARTITION BY query_id)
         UNION ALL SELECT query_id, doc_id, 0.2::DOUBLE * ({NORM}) FROM ti WINDOW q AS (PARTITION BY query_id) UNION ALL SELECT query_id, doc_id, 0.3::DOUBLE * ({NORM}) FROM dt WINDOW q AS (PARTITION BY query_id)) GROUP BY 1, 2""",
     ),
