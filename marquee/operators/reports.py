@@ -88,8 +88,12 @@ def term_popularity(recs: DataFrame, users: DataFrame, as_of: str, min_recs: int
 
 
 def promotion_audit(artifacts: DataFrame, gates: DataFrame, kind: str = "ltr", n: int = 20) -> DataFrame:
-    """Gates of each artifact with the failed ones listed in the order of their names."""
-    failed = F.when(~F.col("passed"), F.concat("gate_name", F.lit("="), F.format_string("%.4f", F.round("measured_value", 4))))
+    """Gates of each artifact with the failed ones listed in the order of their names.
+
+    Values are rounded as binary numbers, halves away from 0: 0.00015 is less than its decimals say and gives 0.0001."""
+    value = F.col("measured_value")
+    nearest = F.signum(value) * F.floor(F.abs(value * 10000) + 0.5) / 10000
+    failed = F.when(~F.col("passed"), F.concat("gate_name", F.lit("="), F.format_string("%.4f", F.when(value.isNotNull(), nearest))))
     audit = gates.groupBy("artifact_id").agg(
         F.count("gate_id").alias("total_gates"),
         count_where(F.col("passed")).alias("gates_passed"),
