@@ -81,7 +81,7 @@ QUERIES = {
         "SELECT query_id, doc_id AS creative_id, 1 + (rank - 1) * 4 AS slot FROM ranked_b JOIN (SELECT query_id, count(*) AS n FROM ranked_a GROUP BY 1) USING (query_id) WHERE rank <= 12 AND rank <= floor(n * 0.2) AND 1 + (rank - 1) * 4 < n",
     ),
     "x08_rank_ads": (
-        lambda d: L.rank_ads(requests(d).join(ads(d), "key")).select("request_id", "creative_id", "rank"),
+        lambda d: L.rank_ads_by_key(requests(d), ads(d)).select("request_id", "creative_id", "rank"),
         """SELECT request_id, creative_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(0.6 * relevance_score + 0.4 * least(cpm_bid_usd / 10.0::DOUBLE, 1), 9) DESC, creative_id) AS INT) AS rank
         FROM (SELECT event_id AS request_id, user_id % 3 AS key FROM watch_events WHERE event_type = 'click') JOIN (SELECT *, creative_id % 3 AS key FROM creatives) USING (key) QUALIFY rank <= 3""",
     ),
