@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marquee.operators.relational import words_between_blanks
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -150,6 +153,14 @@ class Data:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
+    @property
+    def qrels(self) -> DataFrame:
+        """The view `qrels` by the words that texts hold, without a row for each benchmark and document."""
+        words = self.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array(*(F.lower(F.split_part("text", F.lit(" "), F.lit(n))) for n in (2, 3)))).alias("word"))
+        asked = words.groupBy("query_id", "word").agg(F.count("*").alias("n"))
+        held = words_between_blanks(self.documents.select("doc_id", F.lower("text").alias("text")), asked)
+        return asked.join(held, "word").groupBy("query_id", "doc_id").agg(F.sum("n").cast("int").alias("relevance"))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             for other in (*TABLES, *VIEWS):
