@@ -6,6 +6,7 @@ from marquee.operators import ranking as L
 from marquee.operators.people import bandit_state
 from marquee.plans.quality import HEAD, ITEMS, items, rounded
 from marquee.plans.retrieval import BM25, bm25
+from marquee.sources.working import written
 
 MIX = {"en": 0.3, "th": 0.5, "er": 0.8}
 
@@ -38,7 +39,11 @@ def shows(d):
 
 
 def trained(d):
-    table = L.ltr_features(cands(d), d.search_queries, d.corpus).join(d.qrels, ["query_id", "doc_id"], "left").fillna(0, ["relevance"]).withColumn("relevance", F.col("relevance").cast("double"))
+    """The candidates are searched, and their table made, once: training and ranking read it many times."""
+    pairs = ["query_id", "doc_id"]
+    found = written(cands(d))
+    judged = d.qrels.join(found.select(*pairs), pairs, "left_semi")
+    table = written(L.ltr_features(found, d.search_queries, d.corpus).join(judged, pairs, "left").fillna(0, ["relevance"]).withColumn("relevance", F.col("relevance").cast("double")))
     return L.rerank_ltr(table, L.train_ranker(table, FEATURES, iters=20, depth=5))
 
 
