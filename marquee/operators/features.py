@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.sources.working import written, written_in_parts
+
 NO_GENRE = "(no genres listed)"
 EPS = 1e-9
 
@@ -47,19 +51,35 @@ def item_features(ratings: DataFrame, items: DataFrame) -> DataFrame:
     return joined.select("*", F.log1p("n_ratings").alias("popularity"), release_year(F.col("title")).alias("year")).withColumn("recency", recency_bucket(F.col("year")))
 
 
+#: Pairs of ratings that are counted at a time.
+PAIRS = 250_000_000
+
+
 def cowatch_pairs(ratings: DataFrame, min_support: int = 5, max_history: int | None = None) -> DataFrame:
     """Pairs of items (a < b) that at least `min_support` users rated, with the mean of the summed ratings.
 
-    max_history keeps each user's latest ratings only, which bounds the pairs of one user by its square.
+    max_history keeps each user's latest ratings only, which bounds the pairs of one user by its square. Where all users'
+    pairs of ratings are more than PAIRS, they are counted a slice of items a at a time, so that a shuffle holds no more.
     """
     kept = ratings.select("user_id", "doc_id", "rating", "rated_at")
     if max_history:
         kept = last_n(kept, "user_id", "rated_at", max_history, tie="doc_id")
+    kept = written(kept.select("user_id", "doc_id", "rating"))
     a = kept.select("user_id", F.col("doc_id").alias("doc_id_a"), F.col("rating").alias("ra"))
     b = kept.select("user_id", F.col("doc_id").alias("doc_id_b"), F.col("rating").alias("rb"))
-    pairs = a.join(b, "user_id").where("doc_id_a < doc_id_b")
-    counted = pairs.groupBy("doc_id_a", "doc_id_b").agg(F.count("*").alias("co_watch_count"), F.avg(F.col("ra") + F.col("rb")).alias("avg_rating_sum"))
-    return counted.where(F.col("co_watch_count") >= min_support)
+
+    def counted(a: DataFrame) -> DataFrame:
+        pairs = a.join(b, "user_id").where("doc_id_a < doc_id_b")
+        some = pairs.groupBy("doc_id_a", "doc_id_b").agg(F.count("*").alias("co_watch_count"), F.avg(F.col("ra") + F.col("rb")).alias("avg_rating_sum"))
+        return some.where(F.col("co_watch_count") >= min_support)
+
+    n = F.col("n").cast("double")
+    made = kept.groupBy("user_id").agg(F.count("*").alias("n")).agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+    slices = max(1, math.ceil(made / PAIRS))
+    if slices == 1:
+        return counted(a)
+    of = F.pmod(F.xxhash64("doc_id_a"), F.lit(slices))
+    return written_in_parts(counted(a.where(of == i)) for i in range(slices))
 
 
 def cowatch_scores(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
